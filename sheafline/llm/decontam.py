@@ -33,22 +33,29 @@ BLOCK_WORDS = 2_000_000
 TABLE_BITS = 22
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and where each text's words start (one more for the end). Null is empty."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """All words of all texts as codes, the word of each code, and where each text's words start (one more for the end).
+
+    Words are lower-cased runs of letters and digits. Null counts as empty.
+    """
     plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN]+", " ")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(plain))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    lengths, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
-    encoded = flat.dictionary_encode()
-    names = encoded.dictionary.to_pylist()
-    own = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in names], np.uint64)
-    codes = encoded.indices.to_numpy(zero_copy_only=False)
-    real = np.array([bool(w) for w in names], bool)[codes] if len(codes) else np.zeros(0, bool)
+    lengths, encoded = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+    names, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False)
     starts = np.concatenate(([0], np.cumsum(lengths)))
+    real = np.array([bool(w) for w in names], bool)[codes] if len(codes) else np.zeros(0, bool)
     if not real.all():  # a blank text splits into one empty word
         starts = np.concatenate(([0], np.cumsum(real)))[starts]
         codes = codes[real]
-    return (own[codes] if len(codes) else np.zeros(0, np.uint64)), starts.astype(np.int64)
+    return codes.astype(np.int64), names, starts.astype(np.int64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and where each text's words start."""
+    codes, names, starts = words_of(texts)
+    own = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
+    return (own[codes] if len(codes) else np.zeros(0, np.uint64)), starts
 
 
 def seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:

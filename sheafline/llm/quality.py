@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .decontam import _portions, word_hashes
+from .decontam import _portions, words_of
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_384
@@ -29,24 +30,41 @@ GRADES = 3
 #: Shares of the text's characters that are counted, by pattern, each cut into STEPS steps.
 SHARES = ("[A-Z]", r"[^\pL\pN\s]", r"\pN", r"\n", r"[|#$%&*!]")
 STEPS = 24
+#: First letters of words that are features too, so that a stem counts whatever ends it has.
+PREFIXES = (4, 5)
 KEEP = 0.5
+#: Standard errors from which a feature takes part.
+SCREEN = 8.0
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every feature of every text, each once: its distinct words, and the steps of its shares."""
+def features(texts: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every feature of every text, each once: its words, their first letters, and the steps of its shares.
+
+    With ``weights``, only those features that have a weight.
+    """
     texts = pc.fill_null(texts, "")
-    words, starts = word_hashes(texts)
-    row = np.repeat(np.arange(len(texts)), np.diff(starts))
-    shape = (np.uint64(1) << np.uint64(BITS)) - np.uint64(len(SHARES) * STEPS + 3 * STEPS)
-    key = (row.astype(np.uint64) << np.uint64(BITS)) | (words % shape)
-    key = np.unique(key)
-    row_w, code_w = (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    chars = np.maximum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), 1)
-    n, distinct = np.diff(starts), np.bincount(row_w, minlength=len(texts))
+    codes, names, starts = words_of(texts)
+    size = max(1, len(names))
+    pair = np.repeat(np.arange(len(texts)), np.diff(starts)) * size + codes
+    pair.sort()
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+    row, codes = pair // size, pair % size  # the distinct words of each text
+    distinct = np.bincount(row, minlength=len(texts))
+    shape = (1 << BITS) - (len(SHARES) + 3) * STEPS
+    found = []
+    for most in (None, *PREFIXES):
+        hashed = np.array([xxhash.xxh64_intdigest(f"{most}:{w[:most]}") % shape for w in names], np.int64)
+        own, at = row, codes
+        if weights is not None and len(names):
+            some = (weights[hashed] != 0)[codes]
+            own, at = row[some], codes[some]
+        found.append(np.unique((own << BITS) | hashed[at]) if len(at) else np.zeros(0, np.int64))
+    key = np.unique(np.concatenate(found))
+    n, chars = np.diff(starts), np.maximum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), 1)
     measures = [np.sqrt(pc.count_substring_regex(texts, p).to_numpy(zero_copy_only=False) / chars) * STEPS for p in SHARES]
     measures += [distinct / np.maximum(n, 1) * STEPS, chars / np.maximum(n, 1) * 2, np.log2(n + 1)]
-    codes = [int(shape) + k * STEPS + np.clip(m, 0, STEPS - 1).astype(np.int64) for k, m in enumerate(measures)]
-    return np.concatenate([row_w, np.tile(np.arange(len(texts)), len(codes))]), np.concatenate([code_w, *codes])
+    steps = [shape + k * STEPS + np.clip(m, 0, STEPS - 1).astype(np.int64) for k, m in enumerate(measures)]
+    return np.concatenate([key >> BITS, np.tile(np.arange(len(texts)), len(steps))]), np.concatenate([key & ((1 << BITS) - 1), *steps])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,7 +79,7 @@ class Model:
     thresholds: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, -40.0))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        row, code = features(texts)
+        row, code = features(texts, self.weights)
         return np.bincount(row, self.weights[code], minlength=len(texts))
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
@@ -69,41 +87,50 @@ class Model:
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(row: np.ndarray, code: np.ndarray, grade: np.ndarray, steps: int = 250, rate: float = 0.05, shrink: float = 2e-4, prune: float = 1e-4) -> Model:
-    """Cumulative-link regression by Adam over all rows at once; weights shrink, and small ones go to zero.
+def _residuals(score: np.ndarray, grade: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient of each row's negative log-likelihood, by its score and by the thresholds above and below its grade."""
+    upper, lower = _sigmoid(cuts[grade + 1] - score), _sigmoid(cuts[grade] - score)
+    # P(grade) = upper (1 - lower) gap; written so that nothing cancels where both are near 0 or 1
+    gap = -np.expm1(-np.minimum(cuts[grade + 1] - cuts[grade], 700))
+    return 1 - upper - lower, -(1 - upper) / (np.maximum(1 - lower, 1e-15) * gap), lower / (np.maximum(upper, 1e-15) * gap)
+
+
+def fit(row: np.ndarray, code: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.1, shrink: float = 1e-5, screen: float = SCREEN) -> Model:
+    """Cumulative-link regression by Adam over all rows at once, with shrunk weights.
 
-    The thresholds are t_0 and t_0 + exp(d), so that they stay in order.
+    A feature takes part if its score test against the model without weights exceeds ``screen`` standard errors,
+    so that rare words of no account don't fit the noise. The thresholds are t_0 and t_0 + exp(d), in order.
     """
     if not len(grade):
         return Model()
-    n, (used, at) = len(grade), np.unique(code, return_inverse=True)
-    w = np.zeros(len(used))
-    share = np.clip([np.mean(grade <= k) for k in range(GRADES - 1)], 1e-3, 1 - 1e-3)
+    n, each = len(grade), np.arange(len(grade))
+    share = np.clip(np.cumsum(np.bincount(grade, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
-    t = np.array([first[0], *np.log(np.maximum(np.diff(first), 1e-2))])
-    theta = np.concatenate([w, t])
+    null = _residuals(np.zeros(n), grade, np.concatenate(([-np.inf], first, [np.inf])))[0]
+    null = null - null.mean()
+    rows_of, sums = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for i in range(0, len(code), 1 << 20):  # in parts, as the lists of all features are long
+        part = code[i : i + (1 << 20)]
+        rows_of += np.bincount(part, minlength=1 << BITS)
+        sums += np.bincount(part, null[row[i : i + (1 << 20)]], minlength=1 << BITS)
+    z = np.abs(sums) / np.sqrt(np.maximum(rows_of, 1) * max(null.var(), 1e-12))
+    strong = (z >= screen) & (rows_of >= 3)
+    row, code = row[strong[code]], code[strong[code]]
+    used, at = np.unique(code, return_inverse=True)
+    theta = np.concatenate([np.zeros(len(used)), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    each = np.arange(n)
     for k in range(1, steps + 1):
         w, t = theta[: len(used)], theta[len(used) :]
         cuts = np.concatenate(([-np.inf], t[0] + np.concatenate(([0], np.cumsum(np.exp(t[1:])))), [np.inf]))
-        s = np.bincount(row, w[at], minlength=n)
-        upper, lower = _sigmoid(cuts[grade + 1] - s), _sigmoid(cuts[grade] - s)
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        ds = (du - dl) / n  # of the negative log-likelihood, by the score
-        dcut = np.zeros((n, GRADES + 1))
-        dcut[each, grade + 1] -= du / n
-        dcut[each, grade] += dl / n
-        dcut = dcut.sum(0)[1:-1]
-        dt = np.concatenate(([dcut.sum()], [dcut[j:].sum() * np.exp(t[j]) for j in range(1, GRADES - 1)]))
-        g = np.concatenate([np.bincount(at, ds[row], minlength=len(used)) + shrink * w, dt])
+        by_score, by_upper, by_lower = _residuals(np.bincount(row, w[at], minlength=n), grade, cuts)
+        by_cut = np.zeros((n, GRADES + 1))
+        by_cut[each, grade + 1] += by_upper / n
+        by_cut[each, grade] += by_lower / n
+        by_cut = by_cut.sum(0)[1:-1]
+        dt = [by_cut.sum(), *(by_cut[j:].sum() * np.exp(t[j]) for j in range(1, GRADES - 1))]
+        g = np.concatenate([np.bincount(at, by_score[row] / n, minlength=len(used)) + shrink * w, dt])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
-        theta = theta - step
-        # soft threshold: words that only a few rows have keep no weight
-        head = theta[: len(used)]
-        theta[: len(used)] = np.sign(head) * np.maximum(np.abs(head) - rate * prune * 10, 0)
+        theta = theta - rate * (1 - k / (steps + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
     weights = np.zeros(1 << BITS)
     weights[used] = theta[: len(used)]
     t = theta[len(used) :]
@@ -138,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     table = found.groupBy("doc_id").agg(F.min(F.struct("grade", "codes")).alias("r")).select("doc_id", "r.grade", "r.codes").orderBy("doc_id").toArrow()
     lengths = pc.list_value_length(table["codes"]).to_numpy()
     code = table["codes"].combine_chunks().flatten().to_numpy()
-    return fit(np.repeat(np.arange(len(lengths)), lengths), code, table["grade"].to_numpy().astype(np.int64))
+    return fit(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), code, table["grade"].to_numpy().astype(np.int64))
 
 
 GRADED = "doc_id long, expected_grade double, p_good double, kept boolean"
