@@ -236,3 +236,25 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     rows = materialise(rows)
     named = grouped(rows)
     return rows.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: of each group of near copies the smallest doc_id.
+
+    Links are those of the tree over fingerprints of ``words``-word shingles, and those of ``sketch.similar_links``
+    at a similarity of 0.8. Texts without words are no copies of one another here. Rows of a null doc_id stay;
+    rows that share a doc_id stay or go together.
+    """
+    from .sketch import similar_links
+
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = materialise(ids.mapInArrow(_fingerprint_batches(words), "doc_id long, print long")).where("print != 0")
+    prints = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("first_id")))
+    same = rows.join(prints, "print").select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")).where("u != v")
+    stars = links(prints.select("print"), prints.count())
+    first = prints.select("print", "first_id")
+    near = stars.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    alike = similar_links(ids.withColumnRenamed("doc_id", "node"), words)
+    groups = components(same.unionByName(near).unionByName(alike))
+    losers = groups.where("node != component").select("node")
+    return docs.join(losers, docs["doc_id"] == losers["node"], "left_anti")
