@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 ORACLES: dict[str, str] = {
+    "op1_license_scans": licenses.oracle(),
+    "op4_warc_archives": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+        f as (select *, min(page_id) over (partition by h) as first_id from p)
+        select page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::bigint, 1)), '') as payload_digest,
+               case when page_id = first_id then 'response' else 'revisit' end as record_type,
+               case when page_id = first_id then null else first_id end as refers_to
+        from f
+    """,
     "op9_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
         select doc_id,
