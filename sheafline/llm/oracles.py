@@ -16,6 +16,31 @@ ORACLES: dict[str, str] = {
                case when page_id = first_id then null else first_id end as refers_to
         from f
     """,
+    "op8_tool_call_linking": """
+        with calls as (
+            select conv_id, turn, 'c' || turn as call_id, coalesce(text, '') as text,
+                   row_number() over (partition by conv_id, turn % 2 order by turn) - turn // 2 as run
+            from conversations where role = 'user' and turn is not null and conv_id is not null
+        ), leveled as (
+            select *, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level,
+                   case when length(text) between 1 and 1000 then '' else 'range:text' end as errors,
+                   json_object('text', text, 'turn', turn::varchar)::varchar as arguments
+            from calls
+        ), results as (
+            select conv_id, turn as result_turn, 'c' || (turn - 1) as call_id, coalesce(text, '') as content
+            from conversations where role = 'assistant' and turn is not null and conv_id is not null
+        ), j as (
+            select coalesce(l.conv_id, r.conv_id) as conv_id, coalesce(l.call_id, r.call_id) as call_id, turn as call_turn, result_turn, level,
+                   case when l.call_id is null then 'orphan' when r.call_id is null then 'unanswered' else 'answered' end as status,
+                   coalesce(errors, '') as errors, (l.call_id is not null)::bigint as n_calls, (r.call_id is not null)::bigint as n_results, arguments, content
+            from leveled l full outer join results r on l.conv_id = r.conv_id and l.call_id = r.call_id
+        )
+        select conv_id, call_id, call_turn, result_turn, level, status, errors, n_calls, n_results,
+               case status when 'orphan' then json_object('content', content, 'id', call_id, 'status', status)
+                    when 'unanswered' then json_object('arguments', arguments, 'id', call_id, 'name', 'reply', 'status', status)
+                    else json_object('arguments', arguments, 'content', content, 'id', call_id, 'name', 'reply', 'status', status) end::varchar as record
+        from j
+    """,
     "op9_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
         select doc_id,
