@@ -57,7 +57,7 @@ def resolve(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     named = named.withColumns({"n": F.size(kept), "head": F.when(F.size("fixed") > 0, F.col("fixed")).otherwise(head)})
     single = F.when((F.col("n") == 1) & F.col("grouped"), T.collapse(kept[0]))
     named = named.withColumn("group", F.when(F.col("grouped"), carry_forward(single, ["table_id"], ["row"])))
-    first = F.when(~T.blank(F.get("values", F.lit(0))), F.get("values", F.lit(0)))
+    first = F.when((F.col("row") >= F.col("data_start")) & ~T.blank(F.get("values", F.lit(0))), F.get("values", F.lit(0)))
     named = named.withColumn("first", F.when(F.col("fill_first"), carry_forward(first, ["table_id"], ["row"], look_ahead=True)))
     data = named.where((F.col("row") >= F.col("data_start")) & (F.col("n") > 0) & ~(F.col("grouped") & (F.col("n") == 1)))
     values = F.when(F.col("fill_first"), F.concat(F.array("first"), F.slice("values", 2, F.greatest(F.size("values") - 1, F.lit(0))))).otherwise(F.col("values"))
