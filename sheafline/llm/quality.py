@@ -32,9 +32,9 @@ SHARES = ("[A-Z]", r"[^\pL\pN\s]", r"\pN", r"\n", r"[|#$%&*!]")
 STEPS = 24
 #: First letters of words that are features too, so that a stem counts whatever ends it has.
 PREFIXES = (4, 5)
-KEEP = 0.5
+KEEP = 0.7
 #: Standard errors from which a feature takes part.
-SCREEN = 8.0
+SCREEN = 10.0
 
 
 def features(texts: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def _residuals(score: np.ndarray, grade: np.ndarray, cuts: np.ndarray) -> tuple[
     return 1 - upper - lower, -(1 - upper) / (np.maximum(1 - lower, 1e-15) * gap), lower / (np.maximum(upper, 1e-15) * gap)
 
 
-def fit(row: np.ndarray, code: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.1, shrink: float = 1e-5, screen: float = SCREEN) -> Model:
+def fit(row: np.ndarray, code: np.ndarray, grade: np.ndarray, steps: int = 1000, rate: float = 0.3, shrink: float = 1e-5, screen: float = SCREEN) -> Model:
     """Cumulative-link regression by Adam over all rows at once, with shrunk weights.
 
     A feature takes part if its score test against the model without weights exceeds ``screen`` standard errors,
