@@ -148,7 +148,7 @@ class Block:
         return [(t, m, c[2], c[3], -c[1], c[0]) for (t, m), c in sorted(best.items())]
 
 
-def _portions(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def _portions(texts: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch with about ``most`` bytes of text each, so that the words of a batch fit in memory."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
