@@ -162,6 +162,13 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, plan: Plan) -> DataFrame
     return _final(out, plan)
 
 
+def flat_topk(queries: DataFrame, chunks: DataFrame, k: int, bonus: float = 2.0, global_namespace: str = "global") -> DataFrame:
+    """``query_id, chunk_id, score, rank`` over target and global chunks in one ranking; target chunks get ``bonus``, so each of them qualifies."""
+    plan = Plan(layers=(Layer("target", "target", top_k=k), Layer("global", "global", top_k=k)), bonus=bonus, global_namespace=global_namespace)
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return lexical_topk(queries, chunks, plan).withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, plan: Plan) -> DataFrame:
     """As ``lexical_topk``, by cosine similarity in double precision of ``queries.vector`` and ``chunks.vector``; a zero norm counts as 1."""
     rows, out = _columns(chunks, "vector"), None

@@ -183,11 +183,7 @@ def lexical_topk(spark, sf_dir):
     select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from b where score > 0) where rank <= 10""")
 def flat_boost_topk(spark, sf_dir):
     """Target chunks get a bonus of 2, so each of them qualifies; only target and global chunks take part."""
-    asked, held = questions(spark, sf_dir), chunks(spark, sf_dir)
-    either = retrieval.Plan(layers=(retrieval.Layer("target", "target"), retrieval.Layer("global", "global")), bonus=2.0)
-    both = retrieval.lexical_topk(asked, held, either)
-    ranked = F.row_number().over(order.Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return both.withColumn("rank", ranked).where("rank <= 10").select("query_id", "chunk_id", "score", "rank")
+    return retrieval.flat_topk(questions(spark, sf_dir), chunks(spark, sf_dir), 10)
 
 
 LAYERED = (retrieval.Layer("facts", "target", ("fact", "evidence"), (), 5), retrieval.Layer("own", "target", (), (), 5), retrieval.Layer("common", "global", ("fact",), (), 5))
