@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
-from sheafline.operators import evidence, forms, manifest, metrics, order, retrieval, segments, tables, writeback
+from sheafline.operators import evidence, forms, manifest, metrics, order, planning, retrieval, segments, services, tables, writeback
 from sheafline.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,3 +585,32 @@ def resume_anti(spark, sf_dir):
 @query("select event_type, list_sort(list(value))[(round_even((count(*) - 1) * 0.95::double, 0))::bigint + 1] as p95, count(*) as n from events where value is not null group by event_type")
 def p95_latency(spark, sf_dir):
     return metrics.p95(read(spark, sf_dir, "events"), "value", "event_type")
+
+
+# --- plans and services ------------------------------------------------------------------------------------------
+
+
+@query("select item_id, substr(sha256('offline' || chr(10) || text), 1, 16) as prompt_key, length(text)::varchar as response from benchmark")
+def prompt_cache(spark, sf_dir):
+    """Each benchmark item as a prompt of an offline generator; half of them are in the cache already."""
+    prompts = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    held = prompts.where("item_id % 2 = 0").select(services.prompt_key("offline", F.col("prompt")).alias("prompt_key"), F.length("prompt").cast("string").alias("response"))
+    return services.ask(prompts, lambda texts: [str(len(t)) for t in texts], "offline", held).select("item_id", "prompt_key", "response")
+
+
+@query("""
+    with q as (select item_id, split_part(text, '.', 1) as q, case when split_part(text, '.', 1) ilike '%ups%' then ['不间断电源', 'UPS容量', '后备电源'] else []::varchar[] end as more from benchmark)
+    select item_id, case when len(more) > 0 then 'ups' else 'general' end as intent, array_to_string(list_concat(['east'], list_concat(list_filter([q], lambda x: x <> ''), more)), ' ') as primary_query from q
+""")
+def query_plans(spark, sf_dir):
+    fields = read(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("question_text"), F.array().cast("array<string>").alias("aliases"))
+    return planning.query_plans(fields, "east").select("item_id", "intent", "primary_query")
+
+
+@query("""
+    select o_orderpriority as grp, count(*) as sample_count, count(*) filter (o_orderstatus = 'F') as acceptable_or_better, count(*) filter (o_orderstatus in ('F', 'P')) as partial_or_better from orders group by all
+""")
+def judged_counts(spark, sf_dir):
+    label = F.expr("case o_orderstatus when 'F' then 'exact' when 'P' then 'partial' else 'wrong' end")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), label.alias("label"), F.lit(1.0).alias("score"))
+    return services.judged_summary(rows, "grp").drop("average_score")
