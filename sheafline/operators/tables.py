@@ -100,3 +100,41 @@ def table_status(rows: DataFrame, segments: DataFrame, skips: DataFrame) -> Data
     status = first_match([(n == 0, "no_segments"), (F.col("schemas") == n, "schema_only"), (F.coalesce("unknown", F.lit(0)) > 0, "needs_review")], "resolved")
     sure = first_match([(status.isin("no_segments", "needs_review"), "low"), (status == "schema_only", "medium"), (F.col("fallback"), "medium")], "high")
     return joined.select("table_id", n.alias("n_segments"), status.alias("status"), sure.alias("confidence"))
+
+
+def without_repeats(values: Column) -> Column:
+    """Values without those that equal the one before them."""
+    return F.filter(values, lambda v, i: (i == 0) | (v != F.get(values, i - 1)))
+
+
+def optical_specs(rows: DataFrame, attribute: str = "属性", described: tuple[str, ...] = ("描述", "描述："), distance: str = "传输距离") -> DataFrame:
+    """Segments ``table_id, row, role, group, text`` of tables of module specifications ``(table_id, row, values)``.
+
+    The second row names variants, some of them twice; a row of one value names the group of the rows below; a row
+    of distances gives their options and the headers of the rows below. A row as wide as the second has the values
+    of a variant's columns put together, each value once. What is carried down are windows over the table's rows.
+    """
+    value = F.transform("values", T.collapse)
+    kept = F.filter("value", lambda v: v != "")
+    distinct = without_repeats(F.col("kept"))
+    named = rows.withColumn("value", value).withColumn("kept", kept).withColumn("distinct", distinct)
+    head = (F.size("distinct") == 2) & (F.col("distinct")[0] == attribute) & F.col("distinct")[1].isin(*described)
+    kind = first_match([(F.size("kept") == 0, "blank"), (head, "header"), (F.size("distinct") == 1, "group"), (F.col("row") == 2, "variants"), ((F.col("distinct")[0] == distance) & (F.size("distinct") > 2), "distances")], "data")
+    named = named.withColumn("kind", kind)
+    by = (["table_id"], ["row"])
+    named = named.withColumns({
+        "group": carry_forward(F.when(F.col("kind") == "group", F.col("distinct")[0]).when(F.col("kind") == "variants", F.array_join("distinct", "/")), *by),
+        "headers": carry_forward(F.when(F.col("kind") == "variants", F.concat(F.array(F.lit(attribute)), "distinct")).when(F.col("kind") == "distances", F.concat(F.array(F.lit(attribute)), F.slice("distinct", 2, F.size("distinct")))), *by),
+        "variants": carry_forward(F.when(F.col("kind") == "variants", F.filter(F.slice("value", 2, F.greatest(F.size("value") - 1, F.lit(0))), lambda v: v != "")), *by),
+    })
+    wide = F.coalesce(F.size("value") - 1 == F.size("variants"), F.lit(False))
+
+    def merged(variant: Column) -> Column:
+        own = F.filter(F.transform(F.col("variants"), lambda x, i: F.when(x == variant, F.get(F.col("value"), i + 1))), lambda v: v.isNotNull() & (v != ""))
+        return F.array_join(F.array_distinct(own), "、")
+
+    names = without_repeats(F.col("variants"))
+    together = T.pair_values(F.concat(F.array(F.lit(attribute)), names), F.concat(F.array(F.col("value")[0]), F.transform(names, merged)))
+    text = F.when(F.col("kind") == "distances", F.concat(F.lit(f"{distance}选项："), F.array_join(F.slice("distinct", 2, F.size("distinct")), "、"))).when(wide, together).otherwise(T.pair_values(F.coalesce("headers", F.array().cast("array<string>")), F.col("distinct")))
+    role = F.when(F.col("kind") == "distances", "distance_options").otherwise("data_row")
+    return named.where(F.col("kind").isin("distances", "data")).select("table_id", "row", role.alias("role"), "group", text.alias("text"))

@@ -18,3 +18,18 @@ def test_audits(spark):
     assert audits.report(rows, ["id", "anchor"], ["id"], 2) == "| id | anchor |\n| --- | --- |\n| 1 | 网络设备清单 |\n| 2 | 职责\\|表 |\n"
     values = spark.createDataFrame([(["1", "2024-01-02", "name"],), (["name", "phone"],)], "v array<string>").select(audits.value_like(F.col("v")).alias("x"))
     assert [r.x for r in values.collect()] == [True, False]
+
+
+def test_optical_specs(spark):
+    from sheafline.operators import tables
+
+    rows = [
+        (1, ["属性", "描述", "描述", "描述"]), (2, ["", "CFP", "CFP", "QSFP28"]), (3, ["速率", "100G", "100G", "40G"]), (4, ["接口", "LC", "SC", "MPO"]),
+        (5, ["单模模块", "单模模块", "", ""]), (6, ["传输距离", "10km", "40km"]), (7, ["波长", "1310", "1550"]), (8, ["", ""]),
+    ]
+    df = spark.createDataFrame([("t", r, v) for r, v in rows], "table_id string, row int, values array<string>")
+    got = {r.row: (r.role, r.group, r.text) for r in tables.optical_specs(df).collect()}
+    assert got == {
+        3: ("data_row", "CFP/QSFP28", "属性：速率；CFP：100G；QSFP28：40G"), 4: ("data_row", "CFP/QSFP28", "属性：接口；CFP：LC、SC；QSFP28：MPO"),
+        6: ("distance_options", "单模模块", "传输距离选项：10km、40km"), 7: ("data_row", "单模模块", "属性：波长；10km：1310；40km：1550"),
+    }
