@@ -80,11 +80,16 @@ def transposed(rows: DataFrame) -> DataFrame:
     return pairs.select("table_id", "category", F.col("col").alias("row"), "role", "group", F.array_join("ps.pair", "；").alias("text"), F.lit(False).alias("fallback"))
 
 
-def aggregates(segments: DataFrame, categories: Sequence[str], role: str = "procedure") -> DataFrame:
-    """One segment for each table of these categories: its texts in order, numbered."""
-    numbered = segments.where(F.col("category").isin(*categories)).withColumn("k", F.row_number().over(Window.partitionBy("table_id").orderBy("row")))
+def aggregates(segments: DataFrame, categories: Sequence[str] | None, role: str = "procedure", title: str | None = None) -> DataFrame:
+    """One segment for each table of these categories (None: all): its texts in order, numbered.
+
+    Texts are joined by line ends or, behind a title, by ``；``.
+    """
+    own = segments if categories is None else segments.where(F.col("category").isin(*categories))
+    numbered = own.withColumn("k", F.row_number().over(Window.partitionBy("table_id").orderBy("row")))
     lines = F.array_sort(F.collect_list(F.struct("k", F.concat(F.col("k").cast("string"), F.lit(". "), F.col("text")).alias("line"))))
-    return numbered.groupBy("table_id", "category").agg(lines.alias("ls")).where(F.size("ls") > 1).select("table_id", "category", F.lit(0).alias("row"), F.lit(role).alias("role"), F.lit(None).cast("string").alias("group"), F.array_join("ls.line", "\n").alias("text"), F.lit(False).alias("fallback"))
+    text = F.array_join("ls.line", "\n") if title is None else F.concat(F.lit(f"{title}："), F.array_join("ls.line", "；"))
+    return numbered.groupBy("table_id", "category").agg(lines.alias("ls")).where(F.size("ls") > 1).select("table_id", "category", F.lit(0).alias("row"), F.lit(role).alias("role"), F.lit(None).cast("string").alias("group"), text.alias("text"), F.lit(False).alias("fallback"))
 
 
 def table_status(rows: DataFrame, segments: DataFrame, skips: DataFrame) -> DataFrame:
