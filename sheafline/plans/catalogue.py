@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
-from sheafline.operators import evidence, forms, manifest, metrics, order, planning, retrieval, segments, services, tables, writeback
+from sheafline.operators import evidence, forms, layouts, manifest, metrics, order, planning, retrieval, segments, services, tables, writeback
 from sheafline.sources import files
+from sheafline.sources import segments as sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -352,6 +353,67 @@ def table_resolve(spark, sf_dir):
     return found.select(F.col("table_id").alias("l_orderkey"), F.col("row").alias("l_linenumber"), "text")
 
 
+EVENTS_SQL = "e as (select user_id as table_id, (row_number() over (partition by user_id order by event_id))::int as row, event_id, event_type from events)"
+
+
+def _event_tables(spark: SparkSession, sf_dir: str, values) -> DataFrame:
+    """Each user's events, in order, as the rows of a table."""
+    row = F.row_number().over(order.Window.partitionBy("user_id").orderBy("event_id"))
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("table_id"), F.lit("events").alias("category"), row.alias("row"), values.alias("values"))
+
+
+@query(f"""
+    with {EVENTS_SQL}, d as (select *, case when event_type = 'error' then 'E' || event_id end as own from e where row > 2),
+    c as (select *, coalesce(last_value(own ignore nulls) over (partition by table_id order by row rows between unbounded preceding and current row), first_value(own ignore nulls) over (partition by table_id order by row rows between current row and unbounded following)) as centre from d)
+    select table_id, row, case when centre is null then '' else '数据中心名称：' || centre || '；' end || '机房：' || event_type || '；机柜总数：' || event_id as text from c
+""")
+def cabinet_fill(spark, sf_dir):
+    """Errors name the centre of the rows around them."""
+    first = F.when(F.col("event_type") == "error", F.concat(F.lit("E"), F.col("event_id").cast("string"))).otherwise("/")
+    rows = _event_tables(spark, sf_dir, F.array(first, F.col("event_type"), F.col("event_id").cast("string"), F.lit(""), F.lit("-"), F.lit(None)))
+    return layouts.cabinets(rows).select("table_id", "row", "text")
+
+
+@query(f"""
+    with {EVENTS_SQL}, g as (select *, case when event_type = 'signup' then 'g' || event_id when row = 1 then event_type end as own from e),
+    c as (select *, last_value(case when row <> 2 then own end ignore nulls) over (partition by table_id order by row rows between unbounded preceding and current row) as grp from g)
+    select table_id, row, grp, '单位/厂家/专业：' || event_type || '；职责/岗位：' || event_id as text from c where row > 2 and event_type <> 'signup'
+""")
+def org_teams(spark, sf_dir):
+    """Signups name the group of the rows below."""
+    key = F.col("event_id").cast("string")
+    rows = _event_tables(spark, sf_dir, F.when(F.col("event_type") == "signup", F.array(F.concat(F.lit("g"), key), F.lit(""))).otherwise(F.array(F.col("event_type"), key)))
+    return layouts.teams(rows).select("table_id", "row", F.col("group").alias("grp"), "text")
+
+
+@query(f"""
+    with {EVENTS_SQL}, s as (select table_id, row, 'instruction_step' as role, '步骤' || row || '：' || event_type as text from e)
+    select * from s union all
+    select table_id, 0, 'procedure', '完整步骤：' || string_agg(row || '. ' || text, '；' order by row) from s group by table_id having count(*) > 1
+""")
+def step_procedures(spark, sf_dir):
+    return layouts.LAYOUTS["steps"](_event_tables(spark, sf_dir, F.array(F.col("event_type")))).select("table_id", "row", "role", "text")
+
+
+@query(f"""
+    with {EVENTS_SQL}
+    select table_id, row, case when table_id % 2 = 0 then '类型：' || event_type || '；字段2：' || event_id else '地址类型：' || event_type || '；互联地址：' || event_id end as text
+    from e where case when table_id % 2 = 0 then row in (2, 5) else row in (3, 4, 5, 6) end
+""")
+def hinted_rows(spark, sf_dir):
+    """Tables of even users have a hint on their header and data rows."""
+    rows = _event_tables(spark, sf_dir, F.array(F.col("event_type"), F.col("event_id").cast("string")))
+    hints = rows.where("table_id % 2 = 0").select("table_id").distinct().withColumns({"headers": F.array(F.lit("类型：")), "data_rows": F.array(F.lit(2), F.lit(5))})
+    return layouts.LAYOUTS["addresses"](rows, hints=hints).select("table_id", "row", "text")
+
+
+@query("select 'c' || o_custkey as file_id, o_orderkey as row, (row_number() over (partition by o_custkey order by o_orderkey))::int as ordinal, o_orderstatus || ' | ' || o_orderpriority as text from orders")
+def sheet_row_text(spark, sf_dir):
+    """Each customer as a sheet, each order as a row of three cells."""
+    orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("file_id"), F.lit(0).alias("sheet_index"), F.lit("orders").alias("sheet_name"), F.col("o_orderkey").alias("row"), F.posexplode(F.array("o_orderstatus", F.lit(" "), "o_orderpriority")).alias("col", "value"))
+    return sheets.sheet_rows(orders).select("file_id", "row", "ordinal", "text")
+
+
 @query("""
     with n as (select distinct l_partkey % 18278 + 1 as n, l_linenumber as row from lineitem)
     select n::bigint as n, row, case when n > 702 then chr((65 + (n - 703) // 676 % 26)::int) else '' end || case when n > 26 then chr((65 + (n - 27) // 26 % 26)::int) else '' end || chr((65 + (n - 1) % 26)::int) || row as ref, n::int as back from n
