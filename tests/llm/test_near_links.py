@@ -21,3 +21,14 @@ def test_repeated_line_is_no_link(spark):
     # the last two are near copies of each other, but not of the smallest doc_id, the star's centre
     texts.append(" ".join([line] * 40 + [*own[7][:39], "edit"]))
     assert kept(spark, texts) == list(range(8))
+
+
+def test_long_texts_are_decided_by_whole_sets(spark):
+    rng, texts, want = np.random.default_rng(6), [], []
+    for k in range(60):
+        words = [f"d{k}x{i}" for i in range(4004)]
+        # 4000 shingles each, a run of new words at the end: 0.7994 stays, 0.8002 goes
+        edits = 446 if k % 2 else 444
+        texts += [" ".join(words), " ".join([*words[: 4004 - edits], *(f"e{k}x{i}" for i in rng.permutation(edits))])]
+        want += [2 * k, 2 * k + 1] if k % 2 else [2 * k]
+    assert kept(spark, texts) == want
