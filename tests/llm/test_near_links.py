@@ -32,3 +32,22 @@ def test_long_texts_are_decided_by_whole_sets(spark):
         texts += [" ".join(words), " ".join([*words[: 4004 - edits], *(f"e{k}x{i}" for i in rng.permutation(edits))])]
         want += [2 * k, 2 * k + 1] if k % 2 else [2 * k]
     assert kept(spark, texts) == want
+
+
+def test_pairs_that_no_leader_has(spark):
+    rng, texts = np.random.default_rng(9), []
+    for k in range(310):
+        # ten texts with two edits of one template are similar to each other (0.815), the others, with four, to none
+        words = [f"t{i}" for i in range(200)]
+        for e in range(2 if k % 31 == 7 else 4):
+            words[20 + 40 * e + int(rng.integers(0, 30))] = f"e{k}x{e}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in (t.split() for t in texts)]
+    of = list(range(310))
+    for a in range(310):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = of[a], of[b]
+                of = [min(x, y) if z in (x, y) else z for z in of]
+    assert len(set(of)) <= 301
+    assert kept(spark, texts) == sorted(set(of))
