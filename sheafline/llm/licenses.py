@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of which every known licence sentence has one.
-ANCHORS = "licen[sc]|copyright|permission is hereby|permission to use|written permission|rights reserved|redistribut|warrant|public domain|spdx|as is"
+#: Words of which every known licence sentence has one. Single words, as lines may wrap between two.
+ANCHORS = r"licen[sc]|copyright|permission|reserved|redistribut|warrant|domain|spdx|commons|cc0|cc[\s#*/\"'()<>=:;_-]+by"
 #: Openers of licence sentences, which begin a sentence wherever they begin a line.
 OPENERS = "licensed under|released under|this work is|this software is|this program is|this file is|permission is hereby|permission to use|redistribution and use|redistributions|the above copyright|copyright|spdx-license-identifier|you may|you should have|see the|unless required|neither the name|all rights reserved"
 #: Known licence sentences as (identifier, pattern of the whole normalised sentence); the first that matches names it.
@@ -120,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
     that repeat are scanned each; other columns are ignored; an empty table gives an empty table.
     """
     rows = docs.select("doc_id", "text", F.lower("text").rlike(ANCHORS).alias("__anchor"))
-    known = F.filter(F.transform(F.filter(sentences(F.col("text")), lambda s: s.rlike(ANCHORS)), identifier), lambda i: i.isNotNull())
+    known = F.filter(F.transform(sentences(F.col("text")), identifier), lambda i: i.isNotNull())
     none = F.array().cast("array<string>")
     found = rows.select("doc_id", F.when(F.col("__anchor"), known).otherwise(none).alias("ids"))
     found = found.withColumn("sequence", F.when(F.size("ids") > 0, F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))).otherwise(F.lit("")))
