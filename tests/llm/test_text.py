@@ -172,3 +172,36 @@ def test_decontamination(spark, monkeypatch):
         assert clean.columns == ["doc_id", "text", "print", "block"]
     assert {(k, k) for k in range(8)} <= want and (100, 0) in want
     assert decontam.overlaps(docs(spark, []), bench).count() == 0 and decontam.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def best_fit_decreasing(lengths, capacity=1024):
+    return len(set(packing.best_fit(sorted(lengths, reverse=True), capacity).tolist()))
+
+
+def test_evolution_beats_best_fit():
+    """Triples that fill a bin exactly: best fit in decreasing order wastes bins, and no packing of the start is as good as the last."""
+    rng = np.random.default_rng(3)
+    triples = []
+    for _ in range(60):
+        a = int(rng.integers(390, 510))
+        b = int(rng.integers((1024 - a) // 3, (1024 - a) // 2))
+        triples += [a, b, 1024 - a - b]
+    counts = np.bincount(triples, minlength=1024)
+    lengths = np.sort(triples)
+    start = packing.evolve_all(lengths, [], 1024, 5, 0)
+    best = packing.evolve(counts, [], 1024, 5, 1500)
+    assert Counter(x for b in best for x in b) == Counter(triples) and max(map(sum, best)) <= 1024
+    assert 60 <= len(best) < best_fit_decreasing(triples) and len(best) < min(int(x.max()) + 1 for x in start)
+
+
+def test_evolution_is_not_above_best_fit(spark):
+
+    rng = np.random.default_rng(9)
+    lengths = np.clip(rng.gamma(2, 220, 3000).astype(int), 3, 1023)
+    kinds, counts = np.unique(lengths, return_counts=True)
+    block = spark.createDataFrame([(0, kinds.tolist(), counts.tolist())], "block long, lengths array<long>, counts array<long>")
+    plan = packing.plans(block, 1).collect()[0].plan
+    bins = packing._bins(bytes(plan))
+    assert Counter(x for b in bins for x in b) == Counter(lengths.tolist()) and max(map(sum, bins)) <= 1024
+    assert len(bins) <= best_fit_decreasing(lengths.tolist())
+    assert (np.bincount(packing._labels(bytes(plan)), np.sort(lengths)) <= 1024).all()
