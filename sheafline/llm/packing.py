@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import VOCABULARY, encode_ids
+from .tokens import VOCABULARY, by_rank, encode_ids, tokenizer
 
 CAPACITY = 1024
 #: Ends every document.
@@ -33,8 +33,9 @@ ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4, 3, 4, 32
 #: of the other parent's full bins that are dissolved.
 STRAY, INJECTED, DISSOLVED = 0.3, 0.5, 0.6
 
-def _piece_batches(capacity: int, vocabulary: str, end: int):
+def _piece_batches(capacity: int, vocabulary: str, end: int, ranked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer(vocabulary, ranked)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -52,7 +53,7 @@ def _piece_batches(capacity: int, vocabulary: str, end: int):
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces; only the first may be shorter than ``capacity``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_piece_batches(capacity, vocabulary, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_piece_batches(capacity, vocabulary, end, by_rank(vocabulary)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> np.ndarray:

@@ -32,6 +32,8 @@ from .common import materialise, scratch
 PACKAGE_BYTES = 64_000_000
 #: Index lines a reading task gets at once.
 LINES = 2_000
+#: Repeated payloads whose digests are broadcast, at most: about 30 MB. Beyond, records are joined by a shuffle.
+REPEATED = 200_000
 EOCD, EOCD64, LOCATOR, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 MAX32, MAX16 = 0xFFFFFFFF, 0xFFFF
 
@@ -190,7 +192,8 @@ def plan_records(pages: DataFrame, smallest: int = 0) -> DataFrame:
     large = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= smallest
     # only payloads that repeat; counted before they are shuffled
     repeated = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("digest", "first_id")
-    joined = rows.join(repeated, "digest", "left")
+    repeated = materialise(repeated)
+    joined = rows.join(F.broadcast(repeated) if repeated.count() <= REPEATED else repeated, "digest", "left")
     return joined.select("page_id", "html", F.when(F.col("first_id").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first_id")).alias("refers_to"))
 
 
@@ -242,12 +245,14 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def read_packages(packages: DataFrame, lines: int = LINES) -> DataFrame:
-    """Every record of ``packages(path)``: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """Every record of ``packages(path, n)``: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Indexes are read first; then ranges of records are dealt out, so that a large package is read by many tasks.
+    Indexes are read first; then ranges of records are dealt out, so that a large package is read by many tasks. The
+    numbers of tasks come from the stored list, as a path or a range is few bytes with much work behind it.
     """
-    ranges = packages.select("path").repartition(F.col("path")).mapInArrow(_lines_batches(lines), "path string, starts array<long>, lengths array<long>")
-    return ranges.repartition(F.col("path"), F.col("starts")[0]).mapInArrow(_read_batches, READ)
+    files, ranges = packages.agg(F.count("*"), F.sum(F.ceil(F.col("n") / lines))).first()
+    found = packages.select("path").repartition(max(1, files)).mapInArrow(_lines_batches(lines), "path string, starts array<long>, lengths array<long>")
+    return found.repartition(max(1, ranges or 0)).mapInArrow(_read_batches, READ)
 
 
 def archive_pages(pages: DataFrame, smallest: int = 0, most: int = PACKAGE_BYTES, lines: int = LINES) -> DataFrame:

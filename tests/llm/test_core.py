@@ -110,3 +110,43 @@ def test_ids_by_blocks():
         want = library.encode(t or "", add_special_tokens=False).ids
         assert tokens.encode_ids(t or "").tolist() == want
         assert sum(len(library.encode(b, add_special_tokens=False).ids) for b in tokens.blocks(t or "", 40)) == len(want)
+
+
+def test_merging_by_rank_is_proven(tmp_path):
+    import json
+
+    assert tokens.by_rank(tokens.VOCABULARY)
+
+    def vocabulary(name, merges, extra=()):
+        known = sorted("abcd")
+        for m in merges:
+            known.append("".join(m))
+        spec = {"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {k: i for i, k in enumerate(known)}, "merges": [list(m) for m in merges]} | dict(extra)}
+        path = tmp_path / name
+        path.write_text(json.dumps(spec))
+        return str(path)
+
+    assert tokens.by_rank(vocabulary("good.json", [("a", "b"), ("ab", "c"), ("c", "d")]))
+    # the bytes of abc come to ab c, but the listed merge is a bc: by rank, ab and c would be merged
+    odd = vocabulary("odd.json", [("a", "b"), ("b", "c"), ("a", "bc")])
+    assert not tokens.by_rank(odd)
+    library = tokens.tokenizer(odd)[0]
+    assert tokens.tokenizer(odd)[2] is None and list(tokens.tokenizer(odd)[1]("abc")) == library.encode("abc").ids == [4, 2]
+    assert not tokens.by_rank(vocabulary("dropout.json", [("a", "b")], {"dropout": 0.1}))
+
+
+def test_token_ends_of_both_libraries(monkeypatch):
+    library = tokens.tokenizer(tokens.VOCABULARY)
+    for t in [x or "" for x in TEXTS] + ["é" * 40, "a日b 本", "\U0001f600 x\U0001f600"]:
+        fast = [np.asarray(x).tolist() for x in tokens.token_ends(t)]
+        monkeypatch.setitem(tokens._loaded, tokens.VOCABULARY, (*library[:2], None))
+        assert [np.asarray(x).tolist() for x in tokens.token_ends(t)] == fast
+        monkeypatch.setitem(tokens._loaded, tokens.VOCABULARY, library)
+
+
+def test_dealt_chunks(spark, monkeypatch):
+    for name, value in {"CHUNK": 500, "DEAL": 2000, "DEALT": 3}.items():
+        monkeypatch.setattr(tokens, name, value)
+    library = tokens.tokenizer(tokens.VOCABULARY)[0]
+    got = {r.doc_id: r.n_tokens for r in tokens.count_documents(docs(spark, list(enumerate(TEXTS))), huge=400).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
