@@ -7,12 +7,19 @@ if its distance to the vantage point is within the link distance of the radius;
 as guests. Each shard then finds its links exactly, with a tree of its own in memory, and returns a star for each
 group that it has found, never all pairs. The stars of all shards are joined to components.
 
+The tree is cut no finer than guests allow: where a branch gets more than ``GUESTS`` times its own points, it stays a
+shard. Shards are counted, and heavy ones, whether for that or for a crowd of near copies that no vantage point
+parts, are dealt out further: of six parts of the fingerprint, three bits that differ leave three equal (of five two,
+of four one), so points that share such a choice of parts meet in a cell and are linked there. Each heavy shard has
+parts of its own, with the bits that vary in it spread evenly over them.
+
 Radii are not medians: distances between unrelated fingerprints crowd around 32, where a median cut sends most
 points both ways. Each node takes the vantage point and radius whose cut costs least, from the sample's distances.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +37,11 @@ DISTANCE = 3
 SAMPLE = 65_536
 #: Points that call a shard home, on average.
 SHARD = 16_384
+#: Times its own points that a branch of the tree may get, with guests.
+GUESTS = 3.0
+#: Rows of a shard from which it is dealt out by parts of the fingerprint, and rows of such a cell on average.
+HEAVY = 16_384
+CELL = 8_192
 #: Points of a leaf of the trees in memory.
 LEAF = 256
 #: Shingles hashed at once; bounds the memory for a long text.
@@ -100,14 +112,15 @@ def cut(points: np.ndarray, rng: np.random.Generator, candidates: int = 12, leas
 def plant(sample: np.ndarray, n: float, shard: int = SHARD, seed: int = 7) -> list[tuple]:
     """A tree over the sample as a list of nodes: (vantage, radius, inner, outer), or (shard number,).
 
-    ``n``: points that the sample stands for. Nodes with few of the sample stay shards, so the tree is bounded.
+    ``n``: points that the sample stands for. Nodes with few of the sample stay shards, so the tree is bounded, as do
+    those that would be visited by more than GUESTS times their own points.
     """
     rng, nodes, shards = np.random.default_rng(seed), [], 0
-    todo = [(sample, n, None, 0)]
+    todo = [(sample, n, None, 0, 1.0)]
     while todo:
-        own, size, parent, side = todo.pop()
+        own, size, parent, side, visits = todo.pop()
         at, found = len(nodes), None
-        if size > shard and len(own) >= 64:
+        if size > shard and len(own) >= 64 and visits < GUESTS:
             found = cut(own, rng)
         if parent is not None:
             nodes[parent][side] = at
@@ -116,10 +129,11 @@ def plant(sample: np.ndarray, n: float, shard: int = SHARD, seed: int = 7) -> li
             shards += 1
             continue
         vantage, radius, _ = found
-        inside = apart(own, vantage) <= radius
+        d = apart(own, vantage).astype(np.int64)
+        inside = d <= radius
         nodes.append([vantage, radius, None, None])
-        share = inside.mean()
-        todo += [(own[inside], size * share, at, 2), (own[~inside], size * (1 - share), at, 3)]
+        share, inner, outer = inside.mean(), (d <= radius + DISTANCE).mean(), (d > radius - DISTANCE).mean()
+        todo += [(own[inside], size * share, at, 2, visits * inner / share), (own[~inside], size * (1 - share), at, 3, visits * outer / (1 - share))]
     return [tuple(x) for x in nodes]
 
 
@@ -203,13 +217,86 @@ def _link_shard(group: pa.Table) -> pa.Table:
     return pa.table({"u": signed[linked], "v": signed[root[linked]]})
 
 
+def choices(ones: np.ndarray, n: int) -> np.ndarray:
+    """Masks of which two fingerprints that differ in DISTANCE bits at most have one in common, for ``n`` points with ``ones`` of each bit.
+
+    The bits are dealt to DISTANCE + 1 parts or more, those that vary most first; each mask is the union of all parts
+    but DISTANCE. More parts make longer masks, and more of them: the first number is taken with which a mask tells
+    CELL points apart, by the entropy of its bits.
+    """
+    p = np.clip(ones / max(n, 1), 1e-9, 1 - 1e-9)
+    entropy = -p * np.log2(p) - (1 - p) * np.log2(1 - p)
+    order = np.argsort(-entropy, kind="stable")
+    for parts in range(DISTANCE + 1, DISTANCE + 4):
+        turn = np.arange(64) % (2 * parts)
+        part = np.empty(64, np.int64)
+        part[order] = np.minimum(turn, 2 * parts - 1 - turn)  # there and back
+        chosen = list(itertools.combinations(range(parts), parts - DISTANCE))
+        if n / 2 ** min(entropy[np.isin(part, c)].sum() for c in chosen) * LEAF <= CELL:
+            break
+    return np.array([sum(1 << b for b in range(64) if part[b] in c) for c in chosen], np.uint64)
+
+
+def _deal_batches(dealt: dict[int, tuple[np.ndarray, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards, signed, home = (batch[c].to_numpy(zero_copy_only=False) for c in ("shard", "print", "home"))
+            for shard in np.unique(shards):
+                own = np.flatnonzero(shards == shard)
+                masks, cells = dealt[int(shard)]
+                for k, mask in enumerate(masks):
+                    with np.errstate(over="ignore"):
+                        key = ((signed[own].astype(np.int64).view(np.uint64) & mask) ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+                        key ^= key >> np.uint64(32)
+                    cell = (key % np.uint64(cells)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard), pa.int32()), pa.array(cell), pa.array(key.view(np.int64)), pa.array(signed[own]), pa.array(home[own])], ["shard", "cell", "key", "print", "home"])
+
+    return run
+
+
+def _link_cell(group: pa.Table) -> pa.Table:
+    """Stars of the links between points of equal keys: neighbours in key order where few share a key, trees where many do."""
+    key = group["key"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, home = key[order], group["home"].to_numpy().astype(bool)[order]
+    signed = group["print"].to_numpy().astype(np.int64)[order]
+    points, forest = signed.view(np.uint64), Forest(len(key))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    few = np.repeat(size <= LEAF, size)
+    for step in range(1, min(LEAF, int(size.max()))):
+        at = np.flatnonzero(few[:-step] & (key[step:] == key[:-step]) & (home[step:] | home[:-step]))
+        if not len(at):
+            break
+        at = at[apart(points[at], points[at + step]) <= DISTANCE]
+        forest.add(at, at + step)
+    for a, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+        forest.add(np.arange(a, a + n), a + link(points[a : a + n], home[a : a + n]))
+    linked = np.flatnonzero(forest.root != np.arange(len(key)))
+    return pa.table({"u": signed[linked], "v": signed[forest.root[linked]]})
+
+
 def links(prints: DataFrame, n: int) -> DataFrame:
     """Stars ``u, v`` whose components are those of all links among the distinct ``prints(print)``; ``n`` of them."""
     sample = prints.orderBy(F.xxhash64("print")).limit(min(SAMPLE, 512 + 32 * (n // SHARD + 1)))
     drawn = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64)
     nodes = plant(drawn, n) if len(drawn) else [(0,)]
-    dealt = prints.mapInArrow(_route_batches(nodes), "shard int, print long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(_link_shard, "u long, v long")
+    dealt = materialise(prints.mapInArrow(_route_batches(nodes), "shard int, print long, home boolean"))
+    # a row for each shard, of which there are no more than a 64th of the sample
+    ones = [F.sum(F.shiftrightunsigned("print", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    counted = dealt.groupBy("shard").agg(F.count("*").alias("n"), *ones).where(F.col("n") > HEAVY).collect()
+    heavy = {}
+    for row in counted:
+        masks = choices(np.array(row[2:], float), row["n"])
+        heavy[row["shard"]] = (masks, -(-row["n"] * len(masks) // CELL))
+    if not heavy:
+        return dealt.groupBy("shard").applyInArrow(_link_shard, "u long, v long")
+    light = dealt.where(~F.col("shard").isin(list(heavy))).groupBy("shard").applyInArrow(_link_shard, "u long, v long")
+    cells = dealt.where(F.col("shard").isin(list(heavy))).mapInArrow(_deal_batches(heavy), "shard int, cell int, key long, print long, home boolean")
+    n_cells = sum(x for _, x in heavy.values())
+    cells = cells.repartition(min(n_cells, max(2_000, n_cells // 64)), "shard", "cell")
+    return light.unionByName(cells.groupBy("shard", "cell").applyInArrow(_link_cell, "u long, v long"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:

@@ -205,3 +205,40 @@ def test_evolution_is_not_above_best_fit(spark):
     assert Counter(x for b in bins for x in b) == Counter(lengths.tolist()) and max(map(sum, bins)) <= 1024
     assert len(bins) <= best_fit_decreasing(lengths.tolist())
     assert (np.bincount(packing._labels(bytes(plan)), np.sort(lengths)) <= 1024).all()
+
+
+@pytest.mark.parametrize("spread", [64, 12])
+def test_choices_of_parts_meet(spread):
+    """Whatever bits differ, one mask has none of them; for random points, and for a crowd around one."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for n in (1_000, 10**6, 10**9):
+        ones = np.where(np.arange(64) < spread, n * rng.uniform(0.2, 0.8, 64), 0)
+        masks = simhash.choices(ones, n)
+        for bits in itertools.combinations(range(64), 3):
+            assert not np.bitwise_and(masks, np.uint64(sum(1 << b for b in bits))).all()
+
+
+def test_heavy_shards_are_dealt_out(spark, monkeypatch):
+    """A crowd of near copies and random points: cells give the groups of comparing all pairs."""
+    rng = np.random.default_rng(12)
+    crowd = np.full(1500, rng.integers(0, 2**62), np.uint64)
+    for b in range(14):
+        crowd ^= (rng.random(1500) < 0.3).astype(np.uint64) << np.uint64(4 * b)
+    far = rng.integers(0, 2**63, 1500).astype(np.uint64)
+    points = np.unique(np.concatenate([crowd, far, far[:500] ^ np.uint64(5)]))
+    want = simhash.Forest(len(points))
+    for i in range(0, len(points), 500):
+        a, b = np.nonzero(simhash.apart(points[i : i + 500][:, None], points[None, :]) <= 3)
+        want.add(a + i, b)
+    for heavy, leaf in ((100, 256), (100, 4), (10**6, 256)):
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        monkeypatch.setattr(simhash, "LEAF", leaf)
+        monkeypatch.setattr(simhash, "SHARD", 300)
+        prints = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "print long")
+        got = simhash.Forest(len(points))
+        at = {int(x): k for k, x in enumerate(points.view(np.int64))}
+        pairs = [(at[r.u], at[r.v]) for r in simhash.links(prints, len(points)).collect()]
+        got.add(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+        assert (got.root == want.root).all()
