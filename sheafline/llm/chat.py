@@ -1,66 +1,81 @@
 """Tool-call linking for chat records, in DataFrame functions only.
 
-Messages of role ``assistant`` may hold tool calls, as JSON ``{"tool_calls": [{"id", "name", "arguments": {...},
-"after": [ids]}]}``; messages of role ``tool`` hold results, as JSON ``{"tool_call_id", "content"}``. Calls and
-results are joined by conversation and identifier, arguments are held against schemas, and calls are put in a
-topological order of what they come after. Joins and groups are by conversation *and* identifier, so a
-conversation of any length is dealt out to many tasks.
+Messages of role ``assistant`` may hold tool calls, as JSON ``{"tool_calls": [{"id", "name", "arguments", "after":
+[ids]}]}``, or with name and arguments inside ``"function"``; messages of role ``tool`` hold results, as JSON
+``{"tool_call_id", "content"}``. Arguments are a JSON object, or a string that holds one. Calls and results are joined
+by conversation and identifier, arguments are held against schemas, and calls are put in a topological order of what
+they come after. Joins and groups are by conversation *and* identifier, so a conversation of any length is dealt out
+to many tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-CALLS = "tool_calls array<struct<id string, name string, arguments map<string,string>, after array<string>>>"
+CALLS = "tool_calls array<struct<id string, name string, arguments string, after array<string>, function struct<name string, arguments string>>>"
 RESULT = "tool_call_id string, content string"
-#: Names of argument types and the pattern of a value of each.
-TYPES = {"string": r"(?s).*", "integer": r"[+-]?\d+", "number": r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?", "boolean": r"true|false"}
+#: Names of argument types, and the pattern of what Spark calls a JSON value of each.
+TYPES = {"string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": "BIGINT|DECIMAL.*|FLOAT|DOUBLE", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*", "null": "VOID"}
+
+
+def parsed(text: Column) -> Column:
+    """A JSON object as variant; null where the text holds none, or one that names a key twice."""
+    value = F.try_parse_json(text)
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, pos, call_id, name, arguments, after`` of every tool call with an id; other texts hold none."""
-    parsed = messages.where("role = 'assistant' and text like '{%'").select("conv_id", "turn", F.from_json("text", CALLS).alias("m"))
-    rows = parsed.select("conv_id", "turn", F.posexplode("m.tool_calls").alias("pos", "c"))
-    return rows.select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce(F.col("c.arguments"), F.create_map().cast("map<string,string>")).alias("arguments"), F.coalesce(F.col("c.after"), F.array().cast("array<string>")).alias("after")).where("call_id is not null")
+    """``conv_id, turn, pos, call_id, name, arguments, after`` of every tool call with an id; other texts hold none.
+
+    ``arguments`` is JSON text as it stands in the message; ``{}`` where there is none.
+    """
+    rows = messages.where("role = 'assistant' and text rlike '^[ \\t\\r\\n]*[{]'").select("conv_id", "turn", F.from_json("text", CALLS).alias("m"))
+    rows = rows.select("conv_id", "turn", F.posexplode("m.tool_calls").alias("pos", "c"))
+    named, given = F.coalesce("c.name", "c.function.name"), F.coalesce("c.arguments", "c.function.arguments", F.lit("{}"))
+    return rows.select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), named.alias("name"), given.alias("arguments"), F.coalesce(F.col("c.after"), F.array().cast("array<string>")).alias("after")).where("call_id is not null")
 
 
 def results_of(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, call_id, content`` of every result with an id."""
-    parsed = messages.where("role = 'tool' and text like '{%'").select("conv_id", "turn", F.from_json("text", RESULT).alias("r"))
-    return parsed.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content")).where("call_id is not null")
+    rows = messages.where("role = 'tool' and text rlike '^[ \\t\\r\\n]*[{]'").select("conv_id", "turn", F.from_json("text", RESULT).alias("r"))
+    return rows.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content")).where("call_id is not null")
 
 
 def violations(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``calls`` with ``errors``, a sorted array: ``unknown_tool``, ``missing:p``, ``type:p``, ``range:p`` and ``extra:p``.
+    """``calls`` with ``errors``, a sorted array: ``unknown_tool``, ``malformed``, ``missing:p``, ``type:p``, ``range:p`` and ``extra:p``.
 
-    ``schemas(tool, param, type, required, min_length, max_length)`` has a row for each parameter; a tool without
-    parameters has one of null. It is a table of tools, not of data: one row for each call is joined with its tool's
-    parameters as one array.
+    Types are those of the JSON value: ``"7"`` is a string, 7 and 7.0 are integers, all numbers are of type number; a
+    parameter without a known type takes any value. Lengths bind strings only. Arguments that are no JSON object, or
+    name a key twice, are malformed, which is then the only error. ``schemas(tool, param, type, required, min_length,
+    max_length)`` has a row for each parameter; a tool without parameters has one of null. It is a table of tools, not
+    of data: one row for each call is joined with its tool's parameters as one array.
     """
     tools = schemas.groupBy("tool").agg(F.collect_list(F.struct("param", "type", "required", "min_length", "max_length")).alias("params"))
-    joined = calls.join(tools, calls["name"] == tools["tool"], "left")
+    joined = calls.join(tools, calls["name"] == tools["tool"], "left").withColumn("given", parsed(F.col("arguments")).cast("map<string,variant>"))
 
     def fault(p: Column) -> Column:
-        value = F.element_at(F.col("arguments"), p["param"])
-        there = F.array_contains(F.map_keys("arguments"), p["param"])
-        typed = F.lit(False)
-        for kind, pattern in TYPES.items():
-            typed = typed | ((p["type"] == kind) & value.rlike(f"^(?:{pattern})$"))
-        short = F.coalesce(F.length(value) < p["min_length"], F.lit(False)) | F.coalesce(F.length(value) > p["max_length"], F.lit(False))
+        value = F.try_element_at(F.col("given"), p["param"])
+        kind = F.schema_of_variant(value)
+        typed = reduce(lambda x, t: x.when(p["type"] == t[0], kind.rlike(f"^(?:{t[1]})$")), TYPES.items(), F.when(p["type"].isNull(), F.lit(True))).otherwise(F.lit(True))
+        length = F.when(kind == "STRING", F.length(value.cast("string")))
+        outside = F.coalesce(length < p["min_length"], F.lit(False)) | F.coalesce(length > p["max_length"], F.lit(False))
         return (
             F.when(p["param"].isNull(), F.lit(None).cast("string"))
-            .when(~there | value.isNull(), F.when(p["required"], F.concat(F.lit("missing:"), p["param"])))
+            .when(~F.map_contains_key("given", p["param"]), F.when(p["required"], F.concat(F.lit("missing:"), p["param"])))
             .when(~typed, F.concat(F.lit("type:"), p["param"]))
-            .when(short, F.concat(F.lit("range:"), p["param"]))
+            .when(outside, F.concat(F.lit("range:"), p["param"]))
         )
 
-    named = F.transform("params", lambda p: F.coalesce(p["param"], F.lit("")))
-    extra = F.transform(F.array_except(F.map_keys("arguments"), named), lambda k: F.concat(F.lit("extra:"), k))
-    found = F.concat(F.array_compact(F.transform("params", fault)), extra)
-    return joined.withColumn("errors", F.when(F.col("tool").isNull(), F.array(F.lit("unknown_tool"))).otherwise(F.array_sort(found))).drop("tool", "params")
+    named = F.array_compact(F.transform("params", lambda p: p["param"]))
+    extra = F.transform(F.array_except(F.map_keys("given"), named), lambda k: F.concat(F.lit("extra:"), k))
+    found = F.array_sort(F.concat(F.array_compact(F.transform("params", fault)), extra))
+    errors = F.when(F.col("tool").isNull(), F.array(F.lit("unknown_tool"))).when(F.col("given").isNull(), F.array(F.lit("malformed"))).otherwise(found)
+    return joined.withColumn("errors", errors).drop("tool", "params", "given")
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -70,7 +85,8 @@ def levels(calls: DataFrame) -> DataFrame:
     bind nothing. Most transcripts name earlier calls only, but a chain can be as long as its conversation, so
     levels are not walked one at a time: chains, where each call comes after one other at most, are ranked by
     pointer doubling, in as many rounds as the logarithm of their length. Calls that come after several are then
-    settled round by round; their rounds are as many as such calls follow one another.
+    settled round by round; their rounds are as many as such calls follow one another, and each reads only what is
+    still waiting and what the round before has settled.
     """
     nodes = calls.select("conv_id", "call_id")
     named = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"))
@@ -93,24 +109,28 @@ def levels(calls: DataFrame) -> DataFrame:
     ranked = materialise(ends.join(heads, ["conv_id", "end"], "left"))  # end_n is null in a cycle
     known = ranked.where("end_n = 0").select("conv_id", "call_id", F.col("steps").alias("level"))
     waiting = ranked.where("end_n > 1").select("conv_id", "call_id", "end", "steps")
-    done = known
-    if not waiting.isEmpty():
-        joints = waiting.where("call_id = end").select("conv_id", "call_id")
-        while True:
-            ready = edges.join(joints, ["conv_id", "call_id"]).join(done.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left")
-            ready = ready.groupBy("conv_id", "call_id").agg(F.max("level").alias("top"), F.count("*").alias("n"), F.count("level").alias("m")).where("n = m")
-            settled = materialise(ready.select("conv_id", F.col("call_id").alias("end"), (F.col("top") + 1).alias("base")))
-            if settled.isEmpty():
-                break
-            gained = waiting.join(settled, ["conv_id", "end"]).select("conv_id", "call_id", (F.col("base") + F.col("steps")).alias("level"))
-            done = materialise(done.unionByName(gained))
-            joints = joints.join(settled.withColumnRenamed("end", "call_id"), ["conv_id", "call_id"], "left_anti")
-    return nodes.join(done, ["conv_id", "call_id"], "left")
+    if waiting.isEmpty():
+        return nodes.join(known, ["conv_id", "call_id"], "left")
+    open_calls = materialise(waiting.where("call_id = end").join(degree, ["conv_id", "call_id"]).select("conv_id", "call_id", "n", F.lit(0).cast("long").alias("top")))
+    into = materialise(edges.join(open_calls.select("conv_id", "call_id"), ["conv_id", "call_id"]))
+    settled = [known]
+    while True:
+        before = settled[-1].select("conv_id", F.col("call_id").alias("before"), "level")
+        came = into.join(before, ["conv_id", "before"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("m"), F.max("level").alias("highest"))
+        open_calls = materialise(open_calls.where("n > 0").join(came, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.greatest("top", "highest").alias("top")))
+        ready = open_calls.where("n = 0").select("conv_id", F.col("call_id").alias("end"), (F.col("top") + 1).alias("base"))
+        if ready.isEmpty():
+            return nodes.join(reduce(DataFrame.unionByName, settled), ["conv_id", "call_id"], "left")
+        settled.append(materialise(waiting.join(ready, ["conv_id", "end"]).select("conv_id", "call_id", (F.col("base") + F.col("steps")).alias("level"))))
 
 
 def canonical(arguments: Column) -> Column:
-    """A map of strings as JSON with sorted keys and no white space."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(arguments))))
+    """JSON text of an object in canonical form: keys sorted at every depth, no white space, no zeros that end a decimal.
+
+    What is no JSON object, or names a key twice, is written as one JSON string. Of numbers only those beyond 38
+    digits are written with an exponent.
+    """
+    return F.coalesce(F.to_json(parsed(arguments)), F.regexp_replace(F.to_json(F.array(arguments)), r"^\[|\]$", ""))
 
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -119,28 +139,26 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     Returns conv_id, call_id, call_turn, result_turn, level, status, errors (joined by a space), record. status:
     ``answered``, ``unanswered``, ``orphan`` (a result without a call). Of calls that repeat an id in a conversation
     the first by turn and place counts, and the same of results; ``n_calls`` and ``n_results`` tell how many there
-    were. ``record`` is canonical JSON: sorted keys, no white space, all values as strings. Sorting by conv_id,
+    were. ``record`` is canonical JSON: sorted keys, no white space, arguments as the object they are. Sorting by conv_id,
     level, call_turn and call_id gives a topological order; level is null for orphans and in cycles. Null texts,
     texts that are no JSON and rows without conv_id hold nothing; other columns are ignored; an empty table gives
     an empty table.
     """
     rows = messages.select("conv_id", "turn", "role", "text").where("conv_id is not null")
-    first = F.struct("turn", "pos", "name", F.map_entries("arguments").alias("arguments"), "after")
+    first = F.struct("turn", "pos", "name", "arguments", "after")
     calls = calls_of(rows).groupBy("conv_id", "call_id").agg(F.min(first).alias("c"), F.count("*").alias("n_calls"))
-    calls = materialise(calls.select("conv_id", "call_id", "n_calls", "c.turn", "c.pos", "c.name", F.map_from_entries("c.arguments").alias("arguments"), "c.after"))
+    calls = materialise(calls.select("conv_id", "call_id", "n_calls", "c.turn", "c.pos", "c.name", "c.arguments", "c.after"))
     results = results_of(rows).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     results = results.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
     checked = violations(calls.join(levels(calls), ["conv_id", "call_id"], "left"), schemas)
     joined = checked.join(results, ["conv_id", "call_id"], "full_outer")
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("answered")
-    fields = F.create_map(
-        F.lit("arguments"), F.when(F.col("n_calls").isNotNull(), canonical(F.col("arguments"))),
-        F.lit("content"), F.col("content"), F.lit("id"), F.col("call_id"), F.lit("name"), F.col("name"), F.lit("status"), status,
-    )
-    filled = F.map_filter(fields, lambda k, v: v.isNotNull())
+    # each field is JSON with its key, in the order of keys; those of null are left out
+    texts = [F.regexp_replace(F.to_json(F.struct(c.alias(k))), r"^\{|\}$", "") for k, c in (("content", F.col("content")), ("id", F.col("call_id")), ("name", F.col("name")), ("status", status))]
+    fields = [F.concat(F.lit('"arguments":'), canonical(F.col("arguments"))), *(F.when(t != "", t) for t in texts)]
     return joined.select(
         "conv_id", "call_id", F.col("turn").alias("call_turn"), "result_turn", F.col("level").cast("long").alias("level"), status.alias("status"),
-        F.coalesce(F.array_join("errors", " "), F.lit("")).alias("errors"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.to_json(filled).alias("record"),
+        F.coalesce(F.array_join("errors", " "), F.lit("")).alias("errors"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("record"),
     )
 
 
@@ -164,7 +182,7 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """
     turn = F.col("turn").cast("string")
     text = F.coalesce(F.col("text"), F.lit(""))
-    call = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("c"), turn).alias("id"), F.lit("reply").alias("name"), F.create_map(F.lit("text"), text, F.lit("turn"), turn).alias("arguments"), F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))).alias("after"))).alias("tool_calls")))
+    call = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("c"), turn).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("text"), F.col("turn").cast("long").alias("turn")).alias("arguments"), F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))).alias("after"))).alias("tool_calls")))
     result = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"), text.alias("content")))
     rows = conversations.where("role in ('user', 'assistant') and turn is not null")
     is_call = F.col("role") == "user"

@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {
         ), leveled as (
             select *, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level,
                    case when length(text) between 1 and 1000 then '' else 'range:text' end as errors,
-                   json_object('text', text, 'turn', turn::varchar)::varchar as arguments
+                   json_object('text', text, 'turn', turn) as arguments
             from calls
         ), results as (
             select conv_id, turn as result_turn, 'c' || (turn - 1) as call_id, coalesce(text, '') as content
