@@ -4,8 +4,10 @@ Ratings have three grades: 0 poor, 1 well written but toxic, 2 good. One set of
 gives a score s, and ordered thresholds turn it into grades: P(grade <= k) = 1 / (1 + exp(s - t_k)). A document's
 expected grade and its tail probability P(grade = 2) come from the same score; the tail probability selects.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those of the smallest hash of doc_id; a document is scored
-where it is read, by a broadcast of ``2 ** BITS`` weights. Nothing is shuffled.
+The model is fitted on at most ``SAMPLE`` labelled rows, those of the smallest hash of doc_id. Features are counted by
+grade in Spark; the driver gets a count for each feature and grade, picks at most ``STRONG`` features that tell grades
+apart, and gets which rows have those: a table of a fixed size, however long the texts are. A document is scored where
+it is read, by a broadcast of ``2 ** BITS`` weights. No document is shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .decontam import _portions, words_of
 
 #: Labelled rows that the model is fitted on, at most.
@@ -33,8 +36,9 @@ STEPS = 24
 #: First letters of words that are features too, so that a stem counts whatever ends it has.
 PREFIXES = (4, 5)
 KEEP = 0.7
-#: Standard errors from which a feature takes part.
+#: Standard errors from which a feature takes part, and features that do at most: with SAMPLE rows, 64 MB on the driver.
 SCREEN = 10.0
+STRONG = 1_024
 
 
 def features(texts: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,40 +99,55 @@ def _residuals(score: np.ndarray, grade: np.ndarray, cuts: np.ndarray) -> tuple[
     return 1 - upper - lower, -(1 - upper) / (np.maximum(1 - lower, 1e-15) * gap), lower / (np.maximum(upper, 1e-15) * gap)
 
 
-def fit(row: np.ndarray, code: np.ndarray, grade: np.ndarray, steps: int = 1000, rate: float = 0.3, shrink: float = 1e-5, screen: float = SCREEN) -> Model:
-    """Cumulative-link regression by Adam over all rows at once, with shrunk weights.
+def strong(counts: np.ndarray, grades: np.ndarray, screen: float = SCREEN) -> np.ndarray:
+    """The features that take part, in ascending order. counts: rows of each grade that have each feature; grades: rows of each grade.
 
-    A feature takes part if its score test against the model without weights exceeds ``screen`` standard errors,
-    so that rare words of no account don't fit the noise. The thresholds are t_0 and t_0 + exp(d), in order.
+    A feature takes part if its score test against the model without weights exceeds ``screen`` standard errors, so
+    that rare words of no account don't fit the noise; of more than STRONG such features those of the largest tests.
     """
+    if not grades.sum():
+        return np.zeros(0, np.int64)
+    null = _residuals(np.zeros(GRADES), np.arange(GRADES), np.concatenate(([-np.inf], _start(grades), [np.inf])))[0]
+    null = null - (null * grades).sum() / grades.sum()
+    variance = (null**2 * grades).sum() / grades.sum()
+    rows = counts.sum(1)
+    z = np.abs(counts @ null) / np.sqrt(np.maximum(rows, 1) * max(variance, 1e-12))
+    found = np.flatnonzero((z >= screen) & (rows >= 3))
+    return np.sort(found[np.argsort(-z[found], kind="stable")[:STRONG]])
+
+
+def _start(grades: np.ndarray) -> np.ndarray:
+    """Thresholds of the model without weights."""
+    share = np.clip(np.cumsum(grades)[:-1] / grades.sum(), 1e-3, 1 - 1e-3)
+    return np.log(share / (1 - share))
+
+
+def fit(row: np.ndarray, code: np.ndarray, grade: np.ndarray, steps: int = 1000, rate: float = 0.3, shrink: float = 1e-5, screen: float = SCREEN) -> Model:
+    """Cumulative-link regression by Adam over all rows at once, with shrunk weights. The thresholds are t_0 and t_0 + exp(d), in order."""
     if not len(grade):
         return Model()
     n, each = len(grade), np.arange(len(grade))
-    share = np.clip(np.cumsum(np.bincount(grade, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
-    first = np.log(share / (1 - share))
-    null = _residuals(np.zeros(n), grade, np.concatenate(([-np.inf], first, [np.inf])))[0]
-    null = null - null.mean()
-    rows_of, sums = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for i in range(0, len(code), 1 << 20):  # in parts, as the lists of all features are long
-        part = code[i : i + (1 << 20)]
-        rows_of += np.bincount(part, minlength=1 << BITS)
-        sums += np.bincount(part, null[row[i : i + (1 << 20)]], minlength=1 << BITS)
-    z = np.abs(sums) / np.sqrt(np.maximum(rows_of, 1) * max(null.var(), 1e-12))
-    strong = (z >= screen) & (rows_of >= 3)
-    row, code = row[strong[code]], code[strong[code]]
-    used, at = np.unique(code, return_inverse=True)
+    grades = np.bincount(grade, minlength=GRADES)
+    first = _start(grades)
+    counts = np.stack([np.bincount(code[grade[row] == g], minlength=1 << BITS) for g in range(GRADES)], 1)
+    used = strong(counts, grades, screen)
+    place = np.full(1 << BITS, -1, np.int64)
+    place[used] = np.arange(len(used))
+    has = np.zeros((n, len(used)), np.float32)
+    held = place[code] >= 0
+    has[row[held], place[code[held]]] = 1
     theta = np.concatenate([np.zeros(len(used)), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
         w, t = theta[: len(used)], theta[len(used) :]
         cuts = np.concatenate(([-np.inf], t[0] + np.concatenate(([0], np.cumsum(np.exp(t[1:])))), [np.inf]))
-        by_score, by_upper, by_lower = _residuals(np.bincount(row, w[at], minlength=n), grade, cuts)
+        by_score, by_upper, by_lower = _residuals((has @ w.astype(np.float32)).astype(float), grade, cuts)
         by_cut = np.zeros((n, GRADES + 1))
         by_cut[each, grade + 1] += by_upper / n
         by_cut[each, grade] += by_lower / n
         by_cut = by_cut.sum(0)[1:-1]
         dt = [by_cut.sum(), *(by_cut[j:].sum() * np.exp(t[j]) for j in range(1, GRADES - 1))]
-        g = np.concatenate([np.bincount(at, by_score[row] / n, minlength=len(used)) + shrink * w, dt])
+        g = np.concatenate([((by_score / n).astype(np.float32) @ has).astype(float) + shrink * w, dt])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (1 - k / (steps + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
     weights = np.zeros(1 << BITS)
@@ -162,7 +181,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # repeated doc_ids could be more rows than labels: one row each
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "grade").mapInArrow(run, "doc_id long, grade int, codes array<int>")
-    table = found.groupBy("doc_id").agg(F.min(F.struct("grade", "codes")).alias("r")).select("doc_id", "r.grade", "r.codes").orderBy("doc_id").toArrow()
+    found = materialise(found.groupBy("doc_id").agg(F.min(F.struct("grade", "codes")).alias("r")).select("doc_id", "r.grade", "r.codes"))
+    grades = np.zeros(GRADES, np.int64)
+    for r in found.groupBy("grade").count().collect():
+        grades[r["grade"]] = r["count"]
+    tally = found.select("grade", F.explode("codes").alias("code")).groupBy("code").agg(*[F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(GRADES)]).toArrow()
+    counts = np.zeros((1 << BITS, GRADES), np.int64)  # as many rows as there are features, at most
+    counts[tally["code"].to_numpy()] = np.stack([tally[f"g{g}"].to_numpy() for g in range(GRADES)], 1)
+    chosen = strong(counts, grades)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["codes"]
+            code, lengths = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+            good = np.isin(code, chosen)
+            row = np.repeat(np.arange(len(lengths)), lengths)[good]
+            marks = np.searchsorted(row, np.arange(len(lengths) + 1))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(code[good], pa.int32()))], ["doc_id", "grade", "codes"])
+
+    table = found.mapInArrow(keep, found.schema).orderBy("doc_id").toArrow()
     lengths = pc.list_value_length(table["codes"]).to_numpy()
     code = table["codes"].combine_chunks().flatten().to_numpy()
     return fit(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), code, table["grade"].to_numpy().astype(np.int64))

@@ -68,3 +68,70 @@ def test_features_once_each():
     assert len(set(zip(row.tolist(), code.tolist(), strict=True))) == len(row)
     model = quality.fit(np.array([0, 1]), np.array([5, 6]), np.array([2, 0]), steps=3)
     assert np.isfinite(model.thresholds).all()
+
+
+def plain_features(text):
+    """The features of a text, one by one."""
+    import math
+    import re
+
+    import xxhash
+
+    text = text or ""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    shape = (1 << quality.BITS) - (len(quality.SHARES) + 3) * quality.STEPS
+    found = {xxhash.xxh64_intdigest(f"{most}:{w[:most]}") % shape for w in words for most in (None, *quality.PREFIXES)}
+    patterns = ("[A-Z]", r"[^\w\s]|_", r"\d", r"\n", r"[|#$%&*!]")
+    n, chars = len(words), max(1, len(text))
+    measures = [math.sqrt(len(re.findall(p, text)) / chars) * quality.STEPS for p in patterns]
+    measures += [len(set(words)) / max(1, n) * quality.STEPS, chars / max(1, n) * 2, math.log2(n + 1)]
+    return found | {shape + k * quality.STEPS + int(min(max(m, 0), quality.STEPS - 1)) for k, m in enumerate(measures)}
+
+
+def test_scores_against_brute_force(spark):
+    """Every row of the query's result by plain Python: features one by one, the sum of their weights, the link function."""
+    import math
+
+    rng = np.random.default_rng(11)
+    rows = [(i, t) for i, t, _ in corpus(120, 5)] + [(900, None), (901, ""), (902, " .. \n"), (903, "Été, 12 $ & naïve\n\nÉTÉ"), (904, "x" * 50_000), (905, "one two " * 9000), (None, "a b"), (905, "one two " * 9000)]
+    model = quality.Model(rng.normal(0, 0.3, 1 << quality.BITS), np.array([-0.8, 0.9]))
+    want = []
+    for i, t in rows:
+        score = math.fsum(model.weights[f] for f in plain_features(t))
+        one, two = (1 / (1 + math.exp(cut - score)) for cut in (-0.8, 0.9))
+        want.append((str(i), round(one + two, 9), round(two, 9), two >= quality.KEEP))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    got = [(str(r.doc_id), round(r.expected_grade, 9), round(r.p_good, 9), r.kept) for r in quality.score(docs, model).collect()]
+    assert sorted(got) == sorted(want) and len({k[3] for k in got}) == 2
+
+
+def test_fit_against_plain_descent():
+    """The fitted likelihood is that of plain gradient descent on the same few features."""
+    rng = np.random.default_rng(13)
+    n = 400
+    has = rng.random((n, 6)) < 0.4
+    latent = has @ np.array([2.0, -2.0, 1.5, 0, 0, 0]) + rng.logistic(size=n)
+    grade = (latent > -0.5).astype(int) + (latent > 1)
+    row, code = np.nonzero(has)
+    model = quality.fit(row, code, grade, screen=0.0, shrink=0.0)
+
+    def loss(w, cuts):
+        cuts = np.concatenate(([-np.inf], cuts, [np.inf]))
+        s = has @ w
+        return -np.log(quality._sigmoid(cuts[grade + 1] - s) - quality._sigmoid(cuts[grade] - s)).mean()
+
+    x = np.array([0.0] * 6 + [-0.5, 1.0])
+    for _ in range(4000):
+        step = np.array([(loss(*np.split(x + e, [6])) - loss(*np.split(x - e, [6]))) / 2e-6 for e in 1e-6 * np.eye(8)])
+        x -= 0.5 * step
+        if np.abs(step).max() < 1e-6:
+            break
+    assert abs(loss(model.weights[:6], model.thresholds) - loss(*np.split(x, [6]))) < 1e-4
+
+
+def test_features_on_the_driver_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STRONG", 7)
+    rows = corpus(400)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, int(g > 0), int(g == 1)) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    assert 0 < (quality.train(docs, labels).weights != 0).sum() <= 7
