@@ -66,13 +66,27 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
         yield np.array([h(data[a:b], 42) for a, b in zip(starts[i : i + BLOCK].tolist(), ends[i : i + BLOCK].tolist(), strict=True)], np.uint64)
 
 
+class BitCounts:
+    """How many hashes set each bit."""
+
+    def __init__(self):
+        self.counts, self.n = np.zeros(64, np.int64), 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        self.n += len(hashes)
+
+    def fingerprint(self) -> int:
+        """The bits set in over half of the hashes; 0 where there are none."""
+        return int(np.packbits(2 * self.counts > self.n, bitorder="little").view(np.uint64)[0]) if self.n else 0
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The SimHash: a bit is 1 if it is set in over half of the shingles' hashes; 0 where there are none."""
-    counts, n = np.zeros(64, np.int64), 0
+    bits = BitCounts()
     for hashes in shingle_hashes(text, words):
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(hashes)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]) if n else 0
+        bits.add(hashes)
+    return bits.fingerprint()
 
 
 def _fingerprint_batches(words: int):
@@ -333,15 +347,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     together that differ in all else. Texts without words are no copies of one another here. Rows of a null doc_id stay;
     rows that share a doc_id stay or go together.
     """
-    from .sketch import similar_links
+    from .sketch import similar_links, sketches
 
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialise(ids.mapInArrow(_fingerprint_batches(words), "doc_id long, print long")).where("print != 0")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+    sketched = sketches(texts, words)
+    rows = sketched.where("print != 0").select(F.col("node").alias("doc_id"), "print")
     prints = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("first_id")))
     same = rows.join(prints, "print").select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")).where("u != v")
     stars = links(prints.select("print"), prints.count())
     first = prints.select("print", "first_id")
     near = stars.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = components(similar_links(ids.withColumnRenamed("doc_id", "node"), words, also=same.unionByName(near)))
+    groups = components(similar_links(texts, words, also=same.unionByName(near), sketched=sketched))
     losers = groups.where("node != component").select("node")
     return docs.join(losers, docs["doc_id"] == losers["node"], "left_anti")
