@@ -19,6 +19,12 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _write_csv(df: DataFrame, path: str) -> None:
+    """A table with a header; arrays are joined by a semicolon, nulls are empty."""
+    flat = [F.array_join(f.name, ";").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema]
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def eval_fields(spark: SparkSession, gold: str, pred: str, out: str, k: int = 5, threshold: float = 0.55) -> DataFrame:
     """Metric rows, summary and badcases of predictions against gold fields, written below ``out``; returns the summary."""
     rows = metrics.evaluate(evidence.with_options(schemas.golds(spark, gold)), schemas.predictions(spark, pred), k, threshold)
@@ -26,6 +32,7 @@ def eval_fields(spark: SparkSession, gold: str, pred: str, out: str, k: int = 5,
     stored = spark.read.schema(rows.schema).json(f"{out}/rows")
     summary = metrics.summarize(stored)
     _write(summary, f"{out}/summary")
+    _write_csv(stored, f"{out}/rows_csv")
     _write(metrics.badcase_counts(stored), f"{out}/badcases")
     return summary
 
@@ -55,18 +62,20 @@ def run_agent(spark: SparkSession, gold: str, corpus: str, out: str, target: str
     return stored
 
 
-def fill_workbook(spark: SparkSession, template: str, pred: str, out: str, safe: bool = True) -> DataFrame:
-    """A copy of the template with the answers that may be written, and the audit of all; returns the audit."""
+def fill_workbook(spark: SparkSession, template: str, pred: str, out: str, safe: bool = True, comments: bool = True, trace_id: str | None = None) -> DataFrame:
+    """A copy of the template with the answers that may be written and comments that tell their sources; returns the audit of all."""
     data = Path(template).read_bytes()
     book = spark.createDataFrame([("template", bytearray(data))], "file_id string, content binary")
     cells, merges = ooxml.cells(book), ooxml.merges(book)
     first = next(name for _, name, _ in ooxml.sheets(ooxml.zipfile.ZipFile(template)))
     placed = writeback.targets(schemas.predictions(spark, pred), first, merges.select("sheet_name", "first_row", "last_row", "first_col", "last_col"))
-    audit = writeback.actions(placed, cells.where("formula is not null").select("sheet_name", "row", "col"), safe).select("field_id", "sheet_name", "cell", "action", "reason", "answer_value", "answer_status", "write_comment")
+    acted = writeback.commented(writeback.actions(placed, cells.where("formula is not null").select("sheet_name", "row", "col"), safe), trace_id)
+    audit = acted.select("field_id", "sheet_name", "cell", "action", "reason", "answer_value", "answer_status", "write_comment", "trace_id", "comment")
     rows = audit.collect()  # the answers of one workbook
     values: dict[tuple[str, str], str] = defaultdict(str)
     values.update({(r.sheet_name, r.cell): r.answer_value or "" for r in rows if r.action == "written"})
-    Path(out).write_bytes(ooxml.patch(data, values))
+    notes: dict[tuple[str, str], str] = {(r.sheet_name, r.cell): r.comment for r in rows if r.write_comment and comments}
+    Path(out).write_bytes(ooxml.patch(data, values, notes))
     return spark.createDataFrame(rows, audit.schema)
 
 

@@ -168,7 +168,7 @@ def with_options(fields: DataFrame) -> DataFrame:
     """``fields`` with ``options`` and normalised ``aliases``, from ``option_values`` and ``aliases``."""
     out = fields
     for source, name in (("option_values", "options"), ("aliases", "aliases")):
-        parts = fields.select("field_id", F.explode(source).alias("v")).withColumn("v", T.normalize_enum(F.col("v"))).groupBy("field_id").agg(F.array_sort(F.collect_set("v")).alias("__n"))
+        parts = fields.where(F.size(source) > 0).select("field_id", F.explode(source).alias("v")).withColumn("v", T.normalize_enum(F.col("v"))).groupBy("field_id").agg(F.array_sort(F.collect_set("v")).alias("__n"))
         out = out.drop(*({name} - {source})).join(parts, "field_id", "left").withColumn(name, F.coalesce("__n", F.array().cast("array<string>"))).drop("__n")
     return out
 
@@ -193,9 +193,14 @@ def run_fields(fields: DataFrame, candidates: DataFrame, threshold: float = 0.65
 
 
 def trace(rows: DataFrame, run_id: str) -> DataFrame:
-    """The events of every field's run, in order: run_id, field_id, seq, step, payload."""
+    """The events of every field's run, in order: run_id, field_id, seq, step, status, payload.
+
+    A field is ``repaired`` or ``reviewed`` only if it was.
+    """
     payload = F.to_json(F.struct("decision", "answer_status", "repair_action", "review_reason"))
-    return rows.select(F.lit(run_id).alias("run_id"), "field_id", F.posexplode(F.array(*[F.lit(s) for s in STEPS])).alias("seq", "step"), payload.alias("payload"))
+    happened = {"repaired": F.col("repair_action") == "repair", "reviewed": F.col("review_reason").isNotNull()}
+    steps = F.array_compact(F.array(*[F.when(happened[s], F.lit(s)) if s in happened else F.lit(s) for s in STEPS]))
+    return rows.select(F.lit(run_id).alias("run_id"), "field_id", F.posexplode(steps).alias("seq", "step"), F.col("answer_status").alias("status"), payload.alias("payload"))
 
 
 def trace_summary(events: DataFrame) -> DataFrame:

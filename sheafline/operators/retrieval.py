@@ -114,6 +114,30 @@ def _hits(score: np.ndarray, batch: pa.RecordBatch, query_ids: np.ndarray, targe
     return pa.RecordBatch.from_arrays([pa.array(p.astype(t.to_pandas_dtype())) for p, t in zip(parts, kinds, strict=True)], ["query_id", "layer", "chunk_id", "score"])
 
 
+def _running(parts: Iterator[pa.RecordBatch], plan: Plan, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The best of each query and layer over all of a task's batches, so that a task yields no more than they are, however many chunks it reads."""
+    held: list[pa.RecordBatch] = []
+    top = np.array([layer.top_k for layer in plan.layers])
+
+    def best() -> pa.RecordBatch:
+        q, layer, chunk, score = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("query_id", "layer", "chunk_id", "score"))
+        order = np.lexsort((chunk, -score, layer, q))
+        q, layer, chunk, score = q[order], layer[order], chunk[order], score[order]
+        first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (layer[1:] != layer[:-1]))) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        good = place < top[layer] if len(q) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(layer[good]), pa.array(chunk[good]), pa.array(score[good])], ["query_id", "layer", "chunk_id", "score"])
+
+    grown = 0
+    for part in parts:
+        held.append(part)
+        grown += part.num_rows
+        if grown > most:
+            held, grown = [best()], 0
+    if held:
+        yield best()
+
+
 def _columns(chunks: DataFrame, payload: str) -> DataFrame:
     """The columns that scoring needs; those that a table doesn't have are null."""
     have = set(chunks.columns)
@@ -152,10 +176,8 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, plan: Plan) -> DataFrame
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = _Matcher([(q, t) for q, _, t in sent.value])
             ids, targets = np.array([q for q, _, _ in sent.value], np.int64), [n for _, n, _ in sent.value]
-            for batch in batches:
-                for i in range(0, batch.num_rows, 2048):
-                    part = batch.slice(i, 2048)
-                    yield _hits(np.stack([matcher.scores(t) for t in part["text"].to_pylist()]), part, ids, targets, plan)
+            parts = (batch.slice(i, 2048) for batch in batches for i in range(0, batch.num_rows, 2048))
+            yield from _running((_hits(np.stack([matcher.scores(t) for t in part["text"].to_pylist()]), part, ids, targets, plan) for part in parts), plan)
 
         found = rows.mapInArrow(run, HITS)
         out = found if out is None else out.unionByName(found)
@@ -179,13 +201,14 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, plan: Plan) -> DataFrame:
             ids, targets = np.array([q for q, _, _ in sent.value], np.int64), [n for _, n, _ in sent.value]
             asked = np.array([v for _, _, v in sent.value], float)
             norm = np.linalg.norm(asked, axis=1) if len(asked) else np.zeros(0)
-            for batch in batches:
-                if not batch.num_rows or not len(asked):
-                    continue
-                held = np.array(batch["vector"].to_pylist(), float)
+
+            def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+                held = np.array(part["vector"].to_pylist(), float)
                 own = np.linalg.norm(held, axis=1)
-                score = held @ asked.T / (np.where(own > 0, own, 1)[:, None] * np.where(norm > 0, norm, 1)[None, :])
-                yield _hits(score, batch, ids, targets, plan)
+                return _hits(held @ asked.T / (np.where(own > 0, own, 1)[:, None] * np.where(norm > 0, norm, 1)[None, :]), part, ids, targets, plan)
+
+            if len(asked):
+                yield from _running((scored(batch.slice(i, 1024)) for batch in batches for i in range(0, batch.num_rows, 1024)), plan)
 
         found = rows.mapInArrow(run, HITS)
         out = found if out is None else out.unionByName(found)

@@ -73,7 +73,7 @@ def row_segments(cells: DataFrame, headers: DataFrame, attachments: DataFrame |
     if attachments is None:
         return named.withColumn("proof_attachments", F.array().cast("array<string>"))
     proof = headers.select(*SHEET, F.try_element_at("columns", F.lit("proof")).alias("from_col"))
-    bound = attachments.join(proof, list(SHEET)).where(F.col("col") >= F.col("from_col")).groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list("attachment_id")).alias("proof_attachments"))
+    bound = attachments.join(proof, list(SHEET)).where(F.col("col") >= F.col("from_col")).transform(bound_attachments, [*SHEET, "row"])
     joined = named.join(bound, [*SHEET, "row"], "left")
     return joined.withColumn("proof_attachments", F.coalesce("proof_attachments", F.array().cast("array<string>")))
 
@@ -91,12 +91,41 @@ def densify(cells: DataFrame, width: Mapping[str, int] | None = None) -> DataFra
     return rows.join(last, list(SHEET)).select(*SHEET, "row", F.transform(F.sequence(F.lit(1), "width"), lambda c: F.try_element_at(F.col("m"), c)).alias("values"))
 
 
-def route(files: DataFrame, rules: Sequence[tuple[str, str]], path: str = "path") -> DataFrame:
+def bound_attachments(attachments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``proof_attachments`` of each key: the sorted ids of ``attachments(keys..., attachment_id)``. Counted where they are before they are shuffled."""
+    return attachments.groupBy(*keys).agg(F.array_sort(F.collect_list("attachment_id")).alias("proof_attachments"))
+
+
+def lineage(attachments: DataFrame, segments: DataFrame, files: DataFrame) -> DataFrame:
+    """``attachments`` with the segment of the row they sit in, and the file that is registered under their part of the package.
+
+    ``attachments(file_id, sheet_index, row, attachment_id, media_path)``, ``segments(file_id, sheet_index, row,
+    segment_id)``, ``files(file_id, parent_file_id, relative_path)``. Both are left joins by equality: an attachment
+    beside all segments has a null ``parent_segment_id``, one that was never unpacked a null ``embedded_file_id``.
+    """
+    rows = segments.select(*SHEET[:2], "row", F.col("segment_id").alias("parent_segment_id"))
+    inner = files.select(F.col("parent_file_id").alias("file_id"), F.col("relative_path").alias("media_path"), F.col("file_id").alias("embedded_file_id"))
+    return attachments.join(rows, [*SHEET[:2], "row"], "left").join(inner, ["file_id", "media_path"], "left")
+
+
+def route(files: DataFrame, rules: Sequence[tuple[str, str]], path: str = "path", numbered: tuple[str, str] | None = None, form: Column | None = None) -> DataFrame:
     """``files`` with route_status, center_id, candidates and confidence, from ordered (center, pattern) rules over the path.
 
-    One centre is exact, several are ambiguous, a path of the common folder is global, others are unrouted.
+    ``numbered``: (prefix of centres, pattern whose first group is a number), which goes first: one number found is exact
+    with 0.99, several, or the pattern's place without a number (its text before the group), are ambiguous with 0.5.
+    Then one centre is exact with 0.95, or for rows where ``form`` holds needs a review with 0.62 and names no centre;
+    several are ambiguous; a path of the common folder is global, others are unrouted.
     """
     hits = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(path).rlike(p), F.lit(c)) for c, p in rules])))
-    n = F.size("candidates")
-    status = first_match([(n == 1, "exact"), (n > 1, "ambiguous"), (F.col(path).rlike("(?i)common|global|通用"), "global")], "unrouted")
-    return files.withColumn("candidates", hits).withColumns({"route_status": status, "center_id": F.when(n == 1, F.get("candidates", F.lit(0))), "confidence": first_match([(n == 1, 0.95), (n > 1, 0.5)], F.lit(None).cast("double"))})
+    form = F.coalesce(form, F.lit(False)) if form is not None else F.lit(False)
+    found, place = F.array().cast("array<string>"), F.lit(False)
+    if numbered:
+        found = F.transform(F.array_sort(F.array_distinct(F.regexp_extract_all(path, F.lit(numbered[1]), 1))), lambda n: F.concat(F.lit(numbered[0]), n))
+        place = F.col(path).rlike(numbered[1].partition("(")[0])
+    own, n = F.size("__numbers"), F.size("__hits")
+    status = first_match([
+        (own == 1, "exact"), (own > 1, "ambiguous"), ((n == 1) & form, "needs_review"), (n == 1, "exact"), (n > 1, "ambiguous"), (place, "ambiguous"), (F.col(path).rlike("(?i)common|global|通用"), "global"),
+    ], "unrouted")
+    confidence = first_match([(own == 1, 0.99), (own > 1, 0.5), ((n == 1) & form, 0.62), (n == 1, 0.95), ((n > 1) | place, 0.5)], F.lit(None).cast("double"))
+    routed = files.withColumns({"__hits": hits, "__numbers": found}).withColumn("candidates", F.when(own > 0, F.col("__numbers")).otherwise(F.col("__hits")))
+    return routed.withColumns({"route_status": status, "center_id": F.when(status == "exact", F.get("candidates", F.lit(0))), "confidence": confidence}).drop("__hits", "__numbers")

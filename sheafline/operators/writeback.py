@@ -56,6 +56,16 @@ def actions(placed: DataFrame, formulas: DataFrame | None = None, safe: bool = T
     return rows.withColumns({"reason": reason, "action": action, "write_comment": reason.isin("written", "skipped_status", "validation_failed")}).drop("is_formula")
 
 
+def commented(audit: DataFrame, trace_id: str | None = None) -> DataFrame:
+    """``audit`` with trace_id and the comment of each row that gets one, null for the others."""
+    have = set(audit.columns)
+    ids = lambda c: F.col(c) if c in have else F.array().cast("array<string>")
+    traced = audit.withColumn("trace_id", F.coalesce(F.lit(trace_id), F.col("trace_id") if "trace_id" in have else F.lit(None).cast("string")))
+    confidence = F.col("confidence").cast("double") if "confidence" in have else F.lit(None).cast("double")
+    text = T.prediction_comment(confidence, ids("source_chunk_ids"), ids("evidence_attachment_ids"), F.col("answer_status"), F.col("trace_id"))
+    return traced.withColumn("comment", F.when(F.col("write_comment"), text))
+
+
 def summary(audit: DataFrame) -> DataFrame:
     """Counts of the audit by action."""
     n = lambda a: F.count_if(F.col("action") == a).alias(f"n_{a}")

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafline.functions import redact
 from sheafline.functions import text as T
-from sheafline.operators import evidence, forms, layouts, manifest, metrics, order, planning, retrieval, segments, services, tables, writeback
-from sheafline.sources import files
+from sheafline.operators import audits, evidence, forms, layouts, manifest, metrics, order, planning, retrieval, segments, services, tables, writeback
+from sheafline.sources import files, index
 from sheafline.sources import segments as sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,8 +281,9 @@ def merge_inherit(spark, sf_dir):
 """)
 def attach_collect(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_orderkey")
-    bound = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.concat(F.lit("a"), F.col("l_linenumber").cast("string")))).alias("a"))
-    return orders.join(bound, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.array_join("a", ","), F.lit("")).alias("attachments"), F.coalesce(F.size("a"), F.lit(0)).cast("long").alias("n"))
+    held = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("attachment_id"))
+    bound = orders.join(segments.bound_attachments(held, ["o_orderkey"]), "o_orderkey", "left")
+    return bound.select("o_orderkey", F.coalesce(F.array_join("proof_attachments", ","), F.lit("")).alias("attachments"), F.coalesce(F.size("proof_attachments"), F.lit(0)).cast("long").alias("n"))
 
 
 @query("""
@@ -641,7 +643,7 @@ def trace_summary(spark, sf_dir):
 def resume_anti(spark, sf_dir):
     """Orders that are not done yet; those with a returned line are."""
     done = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+    return index.pending(read(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
 @query("select event_type, list_sort(list(value))[(round_even((count(*) - 1) * 0.95::double, 0))::bigint + 1] as p95, count(*) as n from events where value is not null group by event_type")
@@ -676,3 +678,178 @@ def judged_counts(spark, sf_dir):
     label = F.expr("case o_orderstatus when 'F' then 'exact' when 'P' then 'partial' else 'wrong' end")
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), label.alias("label"), F.lit(1.0).alias("score"))
     return services.judged_summary(rows, "grp").drop("average_score")
+
+
+# --- reranking, traces, routes, lineage and audits ---------------------------------------------------------------
+
+
+@query(f"""with {CHUNKS_SQL}, h as (select query_id, chunk_id, hits, row_number() over (partition by query_id order by hits desc, chunk_id) as rank from scored where hits > 0 qualify rank <= 10),
+    r as (select h.*, (hits * 1000 - length(c.text))::double as rerank_score from h join chunks c using (chunk_id))
+    select query_id, chunk_id, rerank_score, (row_number() over (partition by query_id order by rerank_score desc, rank))::int as rerank_rank from r qualify rerank_rank <= 5""")
+def rerank_topk(spark, sf_dir):
+    """The ten best chunks of each question, ranked again by a second score that prefers short texts; the best five."""
+    asked, held = questions(spark, sf_dir), chunks(spark, sf_dir)
+    found = retrieval.lexical_topk(asked, held, retrieval.Plan())
+    again = retrieval.rerank(found, held, asked, 5, lambda q, t: T.lexical_score(q, t) * 1000 - F.length(t))
+    return again.select("query_id", "chunk_id", "rerank_score", "rerank_rank")
+
+
+DECISIONS_SQL = f"""{CANDIDATES_SQL}, d as (select o_orderkey as field_id, case when t.field_id is null then 'no_evidence' when n_own = 0 then 'clue_only' when conflict_ids is not null then 'conflict_unresolved' else 'use_direct_evidence' end as decision
+        from orders o left join t on t.field_id = o_orderkey left join x on x.field_id = o_orderkey)"""
+
+
+def _ran(spark, sf_dir) -> DataFrame:
+    none = F.array().cast("array<string>")
+    fields = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("field_id"), F.lit("text").alias("field_type"), F.lit(True).alias("required"), F.lit(True).alias("must_have_evidence"), F.lit("").alias("regex"), none.alias("option_values"), none.alias("aliases"), F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"))
+    return evidence.run_fields(fields, _candidates(spark, sf_dir))
+
+
+@query(f"""with {DECISIONS_SQL}, s as (select unnest(['field_started', 'query_planned', 'retrieved', 'evidence_selected', 'predicted', 'validated', 'reviewed', 'field_completed']) as step)
+    select step, count(*) as n from d, s where step <> 'reviewed' or decision <> 'use_direct_evidence' group by step""")
+def agent_trace(spark, sf_dir):
+    """The events that the run of all orders leaves, by step."""
+    return evidence.trace(_ran(spark, sf_dir), "run").groupBy("step").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {DECISIONS_SQL} select sum(case when decision = 'use_direct_evidence' then 7 else 8 end)::bigint as n_events, count(*) as n_fields, count(*) as n_completed,
+    count(*) filter (decision = 'use_direct_evidence') as n_answered, 0::bigint as n_repaired, count(*) filter (decision <> 'use_direct_evidence') as n_reviewed from d""")
+def agent_trace_summary(spark, sf_dir):
+    return evidence.trace_summary(evidence.trace(_ran(spark, sf_dir), "run"))
+
+
+@query("""
+    select s_suppkey, case s_suppkey % 7 when 0 then 'survey_form' when 1 then 'intro_doc' when 2 then 'knowledge_base' when 3 then 'proof_attachment' when 4 then 'unknown' end as role
+    from supplier where s_suppkey % 7 < 5
+""")
+def document_roles(spark, sf_dir):
+    """Suppliers as files of several folders, names and extensions; hidden files and unknown extensions aren't registered."""
+    key = F.col("s_suppkey").cast("string")
+    named = [F.concat(F.lit("d/工勘单/f"), key, F.lit(".xlsx")), F.concat(F.lit("d/k/情况说明介绍"), key, F.lit(".docx")), F.concat(F.lit("d/k/"), key, F.lit(".XLS")), F.concat(F.lit("d/"), key, F.lit(".png")), F.concat(F.lit("d/"), key, F.lit(".doc")), F.concat(F.lit("d/."), key, F.lit(".xlsx")), F.concat(F.lit("d/"), key, F.lit(".txt"))]
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(*named), (F.col("s_suppkey") % 7 + 1).cast("int")).alias("path"))
+    return files.registrable(rows).select("s_suppkey", files.document_role(F.col("path")).alias("role"))
+
+
+@query(r"""
+    with p as (select doc_id, source || '/' || lang as path, lang from documents),
+    c as (select *, regexp_extract(path, 'src1(\d)', 1) as number, path like 'src1%' as place, regexp_matches(path, '/(de|fr)$') as other from p)
+    select doc_id, case when number <> '' then 'exact' when other and lang = 'fr' then 'needs_review' when other then 'exact' when place then 'ambiguous' else 'unrouted' end as route_status,
+           case when number <> '' then 'hall_' || number when other and lang <> 'fr' then 'C' end as center_id,
+           case when number <> '' then 0.99::double when other and lang = 'fr' then 0.62::double when other then 0.95::double when place then 0.5::double end as confidence from c
+""")
+def route_numbers(spark, sf_dir):
+    """Routes by numbered halls first, then by rules; rows of one language stand for forms, which need a review."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws("/", "source", "lang").alias("path"))
+    return segments.route(rows, [("C", "/(de|fr)$")], numbered=("hall_", r"src1(\d)"), form=F.col("lang") == "fr").select("doc_id", "route_status", "center_id", "confidence")
+
+
+@query("""
+    select l_orderkey, l_linenumber, case when o_orderstatus = 'F' then 'seg_' || o_orderkey end as parent_segment_id, case when p_size > 25 then 'p' || p_partkey end as embedded_file_id
+    from lineitem left join orders on o_orderkey = l_orderkey left join part on p_partkey = l_partkey
+""")
+def attachment_lineage(spark, sf_dir):
+    """Lines as attachments of their order's row; finished orders have a segment, large parts were unpacked as files."""
+    one = F.lit("f").alias("file_id")
+    held = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", one, F.lit(0).alias("sheet_index"), F.col("l_orderkey").alias("row"), F.col("l_partkey").cast("string").alias("media_path"))
+    rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(one, F.lit(0).alias("sheet_index"), F.col("o_orderkey").alias("row"), F.concat(F.lit("seg_"), F.col("o_orderkey").cast("string")).alias("segment_id"))
+    inner = read(spark, sf_dir, "part").where("p_size > 25").select(F.lit("f").alias("parent_file_id"), F.col("p_partkey").cast("string").alias("relative_path"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"))
+    return segments.lineage(held, rows, inner).select("l_orderkey", "l_linenumber", "parent_segment_id", "embedded_file_id")
+
+
+@query("""
+    with t as (select o_orderkey, o_orderstatus, case when o_orderkey % 17 = 0 or o_custkey < 1 then null else o_custkey end as row from orders),
+    n as (select *, case when row is null then 1 else count(*) over (partition by row) end as n from t)
+    select count(*) as n_fields, count(*) filter (row is not null and n = 1 and o_orderstatus = 'F') as n_written, count(*) filter (row is not null and n = 1 and o_orderstatus <> 'F') as n_skipped,
+           count(*) filter (row is not null and n > 1) as n_conflict, count(*) filter (row is null) as n_invalid, count(*) filter (row is null or n > 1 or o_orderstatus <> 'F') as n_review from n
+""")
+def writeback_summary(spark, sf_dir):
+    at = F.when(F.col("o_orderkey") % 17 == 0, F.lit("??")).otherwise(F.concat(F.lit("C"), F.col("o_custkey").cast("string")))
+    told = read(spark, sf_dir, "orders").select(at.alias("target_cell"), F.when(F.col("o_orderstatus") == "F", "answered").otherwise("not_found").alias("answer_status"), F.lit(True).alias("validation_pass"), F.lit(False).alias("evidence_missing"), F.array().cast("array<string>").alias("violations"))
+    return writeback.summary(writeback.actions(writeback.targets(told, "S0")))
+
+
+@query("""
+    select o_orderkey, case when o_orderstatus = 'F' or o_orderkey % 3 = 0 then 'confidence: ' || printf('%.4f', (o_orderkey % 8) / 8.0) || chr(10) || 'source_chunk_ids: c' || o_custkey || ', d' || chr(10)
+           || 'evidence_attachment_ids: ' || chr(10) || 'answer_status: ' || case when o_orderstatus = 'F' then 'answered' else 'not_found' end || chr(10) || 'trace_id: run' end as comment from orders
+""")
+def comment_texts(spark, sf_dir):
+    """The comment of each prediction that gets one."""
+    told = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "answered").otherwise("not_found").alias("answer_status"), ((F.col("o_orderkey") % 8) / 8).alias("confidence"), F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.lit("d")).alias("source_chunk_ids"), ((F.col("o_orderstatus") == "F") | (F.col("o_orderkey") % 3 == 0)).alias("write_comment"))
+    return writeback.commented(told, "run").select("o_orderkey", "comment")
+
+
+@query(r"""
+    select o_orderkey, array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(lower(o_orderpriority) || '、' || lower(o_orderstatus) || '//' || lower(o_clerk_) || ';', '[,，;；、/]+'),
+           lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')), lambda x: x <> '')), '|') as parts from (select *, 'Clerk ' || o_custkey as o_clerk_ from orders)
+""")
+def option_lists(spark, sf_dir):
+    text = F.concat("o_orderpriority", F.lit("、"), "o_orderstatus", F.lit("//Clerk "), F.col("o_custkey").cast("string"), F.lit(";"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.normalize_list(text), "|").alias("parts"))
+
+
+@query(r"""
+    select item_id, case when trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' then 'text：' || regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[。；;，,.]+$', '') || '。' end as sentence from benchmark
+""")
+def sentence_fields(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", T.sentence_field("text", F.col("text")).alias("sentence"))
+
+
+@query("""
+    with o as (select o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) over (partition by o_custkey order by o_orderkey) as last from orders)
+    select o_custkey, string_agg(o_orderstatus, '' order by o_orderkey) as statuses from o where last is null or last <> o_orderstatus group by o_custkey
+""")
+def repeats_compacted(spark, sf_dir):
+    """The statuses of each customer's orders, without those that equal the one before."""
+    listed = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
+    return listed.select("o_custkey", F.array_join(tables.without_repeats(F.col("o.o_orderstatus")), "").alias("statuses"))
+
+
+@query("""
+    select o_orderkey, 'late' as need_type, 'high' as severity, 0::int as severity_rank from orders where o_orderstatus = 'O' and o_totalprice > 200000 union all
+    select o_orderkey, 'priority', 'medium', 1 from orders where o_orderpriority like '1%'
+""")
+def audit_cases(spark, sf_dir):
+    """The cases that two audit rules make of orders."""
+    rules = [audits.Rule("late", "high", "o_orderstatus = 'O' and o_totalprice > 200000", "open and large", "look"), audits.Rule("priority", "medium", "o_orderpriority like '1%'", "urgent", "ship")]
+    return audits.cases(read(spark, sf_dir, "orders"), rules, ["o_orderkey"]).select("o_orderkey", "need_type", "severity", "severity_rank")
+
+
+@query("""
+    with c as (select p_partkey, case when regexp_matches(p_name || ' ' || p_type, 'STEEL') then 'metal' when regexp_matches(p_name || ' ' || p_type, '^[a-m]') then 'first' else 'other' end as table_category from part)
+    select p_partkey, table_category, case table_category when 'metal' then 'main' else 'side' end as source_group from c where table_category in ('metal', 'first')
+""")
+def candidate_classes(spark, sf_dir):
+    """Parts as tables, classed by ordered patterns; those of the recommended groups."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("anchor"), F.col("p_type").alias("header_sample"))
+    classed = audits.classified(rows, [("metal", "main", "STEEL"), ("first", "side", "^[a-m]")])
+    return audits.selected(classed, recommended=("main", "side")).select("p_partkey", "table_category", "source_group")
+
+
+@query("""select event_id, '{"user":' || user_id || ',"api_token":"[redacted]","text":"' || event_type || '","at":["' || event_type || '"]}' as payload from events""")
+def redacted_payloads(spark, sf_dir):
+    """Events as payloads with a secret; the secret is hidden."""
+    payload = F.concat(F.lit('{"user":'), F.col("user_id").cast("string"), F.lit(',"api_token":"s3cret","text":" '), F.col("event_type"), F.lit('  ","at":["'), F.col("event_type"), F.lit('"]}'))
+    return read(spark, sf_dir, "events").select("event_id", redact.redacted(payload).alias("payload"))
+
+
+@query("""select o_orderkey, '{"row": ' || o_custkey || '}' as answer from orders""")
+def fenced_answers(spark, sf_dir):
+    """Answers of a chat service: fenced, inside other words, or plain."""
+    plain = F.concat(F.lit('{"row": '), F.col("o_custkey").cast("string"), F.lit("}"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("It is "), plain, F.lit(" I think"))).otherwise(plain)
+    return read(spark, sf_dir, "orders").select("o_orderkey", services.json_object(said).alias("answer"))
+
+
+@query(f"""
+    with q as (select item_id as query_id, split_part(text, '.', 1) as question, 'src' || (item_id % 20) as target from benchmark),
+    t as (select query_id, unnest(list_filter(list_concat([question], regexp_split_to_array(question, {_quoted(T.DELIMITERS)})), lambda x: length(x) >= 2)) as token from q),
+    c as (select doc_id as chunk_id, doc_id % 500 as field_id, text, source as namespace, lang from documents),
+    f as (select query_id, chunk_id, 0.5::double as base from q join c on c.field_id = q.query_id union all select distinct t.query_id, c.chunk_id, 0.2::double from t join c on contains(c.text, t.token)),
+    b as (select query_id, chunk_id, max(base) as base from f group by all)
+    select b.query_id as field_id, chunk_id, round(base + case when namespace = target then 0.3::double else 0.0::double end + case lang when 'en' then 0.2::double when 'fr' then 0.15::double else 0.0::double end, 6) as score from b join q using (query_id) join c using (chunk_id)
+""")
+def coarse_candidates(spark, sf_dir):
+    """Documents that a question finds by its field or by its words, with a coarse score."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("field_id"), F.substring_index("text", ".", 1).alias("question_text"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("target_namespace"))
+    kind = F.when(F.col("lang") == "en", evidence.MAIN).when(F.col("lang") == "fr", evidence.EMBEDDED).otherwise("other")
+    held = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 500).alias("field_id"), "text", F.lit(None).cast("string").alias("question_text"), F.lit(None).cast("string").alias("answer_value"), F.col("source").alias("namespace"), kind.alias("source_type"))
+    return planning.mini_candidates(asked, held)

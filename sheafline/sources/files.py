@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +28,27 @@ def registered(files: DataFrame) -> DataFrame:
     return files.withColumns({"file_id": T.file_id(F.col("path")), "file_name": name, "declared_ext": F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)), "size_mb": F.bround(F.col("size_bytes") / 1048576, 3)})
 
 
+#: Extensions that are registered, and the roles of a file by its folder, name and extension.
+EXTENSIONS = ("xlsx", "xls", "docx", "doc", "pdf", "png", "jpg", "jpeg")
+FORM_FOLDER, INTRO_MARK = "工勘单", "情况说明介绍"
+
+
+def registrable(files: DataFrame, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+    """The rows of ``files(path, ...)`` that are registered: of a known extension, and whose name has no leading dot."""
+    name = F.regexp_extract("path", r"[^/]+$", 0)
+    return files.where(~F.startswith(name, F.lit(".")) & F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions))
+
+
+def document_role(path: Column) -> Column:
+    """What a file is for, by its path: a form, an introduction, the knowledge base, a proof, or unknown. The first rule that holds counts."""
+    name = F.regexp_extract(path, r"[^/]+$", 0)
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    return first_match([
+        (F.array_contains(F.split(path, "/"), FORM_FOLDER), "survey_form"), (kind.isin("docx", "doc") & F.contains(name, F.lit(INTRO_MARK)), "intro_doc"),
+        (kind.isin("xlsx", "xls"), "knowledge_base"), (kind.isin("png", "jpg", "jpeg", "pdf"), "proof_attachment"),
+    ], "unknown")
+
+
 def _zip_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = []

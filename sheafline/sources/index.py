@@ -66,5 +66,9 @@ def write(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def resume(chunks: DataFrame, path: str, spark: SparkSession) -> DataFrame:
     """The chunks that the stored table doesn't have yet."""
-    done = spark.read.parquet(path).select(F.col("chunk_id"))
-    return chunks.join(done, "chunk_id", "left_anti")
+    return pending(chunks, spark.read.parquet(path), "chunk_id")
+
+
+def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key ``done`` doesn't have; null keys are pending always."""
+    return rows.join(done.select(key), key, "left_anti")

@@ -7,6 +7,7 @@ package part. What is done with the rows afterwards (header rows, merged values,
 from __future__ import annotations
 
 import io
+import mimetypes
 import posixpath
 import re
 import zipfile
@@ -29,6 +30,7 @@ MERGES = "file_id string, sheet_index int, sheet_name string, first_row int, las
 ATTACHMENTS = "file_id string, sheet_index int, sheet_name string, row int, col int, attachment_id string, media_path string, content_type string, anchor_type string"
 BLOCKS = "file_id string, block_index long, block_type string, style string, level int, table_index int, row int, col int, text string"
 MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "emf": "image/x-emf", "wmf": "image/x-wmf", "tif": "image/tiff", "tiff": "image/tiff"}
+IMAGE_CALL = re.compile(r'DISPIMG\("([^"]+)"', re.IGNORECASE)
 REF = re.compile(r"\$?([A-Z]{1,3})\$?(\d+)")
 
 
@@ -103,8 +105,40 @@ def workbook_rows(file_id: str, data: bytes, what: str) -> Iterator[tuple]:
                         e.clear()
 
 
+def cell_images(package: zipfile.ZipFile) -> dict[str, str]:
+    """Media of the images that formulas put in cells, by the name that the formula gives."""
+    part = "xl/cellimages.xml"
+    if part not in package.namelist():
+        return {}
+    media, found = relations(package, part), {}
+    for image in ET.fromstring(package.read(part)):
+        named, blip = next(image.iter(f"{DRAW}cNvPr"), None), next(image.iter(BLIP), None)
+        if named is not None and blip is not None:
+            found[named.get("name", "")] = media.get(blip.get(f"{REL}embed") or "", "")
+    return found
+
+
+def objects_of(package: zipfile.ZipFile, part: str) -> Iterator[tuple[str, str, str | None, tuple[int, int] | None]]:
+    """(shape id, object's part, program, cell) of the objects that a sheet embeds, each once; the cell is null where the sheet gives none."""
+    targets, seen = relations(package, part), set()
+    with package.open(part) as stream:
+        for _, e in ET.iterparse(stream):
+            if e.tag != f"{MAIN}oleObject":
+                continue
+            shape, target = e.get("shapeId") or e.get(f"{REL}id") or "", targets.get(e.get(f"{REL}id") or "", "")
+            if not target or (shape, target) in seen:
+                continue
+            seen.add((shape, target))
+            at = next(e.iter(f"{MAIN}from"), None)
+            cell = None if at is None else (int(at.findtext(f"{DRAW}row", "0")) + 1, int(at.findtext(f"{DRAW}col", "0")) + 1)
+            yield shape, target, e.get("progId"), cell
+
+
 def anchored(package: zipfile.ZipFile, file_id: str, index: int, name: str, part: str) -> Iterator[tuple]:
-    """Images of a sheet's drawings with the cell their upper left corner is in. The corrected attribute ``r:embed`` is read first, then ``r:id``."""
+    """Images of a sheet's drawings with the cell their upper left corner is in, embedded objects, and images of formulas.
+
+    The corrected attribute ``r:embed`` is read first, then ``r:id``.
+    """
     drawings = [p for p in relations(package, part).values() if "/drawings/" in p and p in package.namelist()]
     for drawing in drawings:
         media = relations(package, drawing)
@@ -116,6 +150,17 @@ def anchored(package: zipfile.ZipFile, file_id: str, index: int, name: str, part
             row, col = int(at.findtext(f"{DRAW}row", "0")) + 1, int(at.findtext(f"{DRAW}col", "0")) + 1
             kind = MEDIA_TYPES.get(path.rpartition(".")[2].lower(), "application/octet-stream")
             yield file_id, index, name, row, col, f"att_{file_id}_{index}_{posixpath.basename(drawing)}_{k}", path, kind, "drawing"
+    for shape, path, _, cell in objects_of(package, part):
+        kind = mimetypes.guess_type(path)[0] or "application/vnd.openxmlformats-officedocument.oleObject"
+        yield file_id, index, name, *(cell or (None, None)), f"att_{file_id}_{shape}_ole", path, kind, "ole_object"
+    images = cell_images(package)
+    if images:
+        with package.open(part) as stream:
+            for _, e in ET.iterparse(stream):
+                if e.tag == f"{MAIN}c" and e.get("r") and (call := IMAGE_CALL.search(e.findtext(f"{MAIN}f") or "")) and call.group(1) in images:
+                    row, col = place(e.get("r"))
+                    path = images[call.group(1)]
+                    yield file_id, index, name, row, col, f"att_{file_id}_{index}_{e.get('r')}_cell", path, MEDIA_TYPES.get(path.rpartition(".")[2].lower(), "application/octet-stream"), "cell_image"
 
 
 def heading_level(style: str | None) -> int:
@@ -161,13 +206,15 @@ def _reader(rows, schema: str, batch_rows: int = 5000):
             for file_id, data in zip(b["file_id"].to_pylist(), b["content"].to_pylist(), strict=True):
                 part: list[tuple] = []
                 try:
-                    for row in rows(file_id, data or b""):
-                        part.append(row)
-                        if len(part) >= batch_rows:
-                            yield batch(part)
-                            part = []
+                    for _ in rows(file_id, data or b""):
+                        pass  # a package that breaks midway gives no rows, instead of its first ones
                 except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                    pass  # the probe tells which files can't be read; the rows that came before stay
+                    continue  # the probe tells which files can't be read
+                for row in rows(file_id, data or b""):
+                    part.append(row)
+                    if len(part) >= batch_rows:
+                        yield batch(part)
+                        part = []
                 if part:
                     yield batch(part)
 
@@ -195,18 +242,101 @@ def blocks(files: DataFrame) -> DataFrame:
     return _of(files, document_rows, BLOCKS)
 
 
-def patch(template: bytes, values: dict[tuple[str, str], str]) -> bytes:
-    """The workbook with inline strings in cells ``(sheet name, address)``; styles and all other parts stay as they are."""
+COMMENTS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/comments"
+DRAWING = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/vmlDrawing"
+AUTHOR = "sheafline"
+
+
+def patch(template: bytes, values: dict[tuple[str, str], str], notes: dict[tuple[str, str], str] | None = None) -> bytes:
+    """The workbook with inline strings and comments in cells ``(sheet name, address)``; styles and all other parts stay as they are."""
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(template)) as package, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         parts = {part: name for _, name, part in sheets(package)}
-        for name in package.namelist():
-            data = package.read(name)
-            mine = {ref: v for (sheet, ref), v in values.items() if sheet == parts.get(name)}
-            new.writestr(name, _patched(data, mine) if mine else data)
+        changed: dict[str, bytes] = {}
+        for part, sheet in parts.items():
+            mine = {ref: v for (s, ref), v in values.items() if s == sheet}
+            said = {ref: v for (s, ref), v in (notes or {}).items() if s == sheet}
+            if mine:
+                changed[part] = _patched(package.read(part), mine)
+            if said:
+                changed |= _commented(package, part, changed.get(part) or package.read(part), said)
+        for name in [*package.namelist(), *(n for n in changed if n not in package.namelist())]:
+            if name == "[Content_Types].xml" and any(n.endswith((".vml", "comments.xml")) or "/comments" in n for n in changed):
+                new.writestr(name, _typed(package.read(name), changed))
+            else:
+                new.writestr(name, changed[name] if name in changed else package.read(name))
     return out.getvalue()
 
 
+def _commented(package: zipfile.ZipFile, part: str, sheet: bytes, notes: dict[str, str]) -> dict[str, bytes]:
+    """The parts that give a sheet its comments: text, their shapes, the relationships, the sheet. A cell's own comment stays, with the new one below it."""
+    folder, stem = posixpath.dirname(part), posixpath.basename(part).rpartition(".")[0]
+    rels = posixpath.join(folder, "_rels", posixpath.basename(part) + ".rels")
+    tree = ET.fromstring(package.read(rels)) if rels in package.namelist() else ET.Element(f"{PACKAGE}Relationships")
+    known, kinds = relations(package, part), {r.get("Type"): r for r in tree}
+    old, texts = kinds.get(COMMENTS), {}
+    target = known[old.get("Id")] if old is not None else f"xl/comments_{stem}.xml"
+    if old is not None and target in package.namelist():
+        texts = {c.get("ref"): "".join(t.text or "" for t in c.iter(f"{MAIN}t")) for c in ET.fromstring(package.read(target)).iter(f"{MAIN}comment")}
+    for ref, note in notes.items():
+        texts[ref] = f"{texts[ref]}\n\n{note}" if texts.get(ref) else note
+    root = ET.Element(f"{MAIN}comments")
+    ET.SubElement(ET.SubElement(root, f"{MAIN}authors"), f"{MAIN}author").text = AUTHOR
+    held = ET.SubElement(root, f"{MAIN}commentList")
+    shapes = []
+    for ref in sorted(texts, key=place):
+        one = ET.SubElement(ET.SubElement(held, f"{MAIN}comment", {"ref": ref, "authorId": "0"}), f"{MAIN}text")
+        ET.SubElement(one, f"{MAIN}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"}).text = texts[ref]
+        row, col = place(ref)
+        shapes.append(f'<v:shape id="note{row}_{col}" type="#_x0000_t202" style="position:absolute;visibility:hidden"><x:ClientData ObjectType="Note"><x:Row>{row - 1}</x:Row><x:Column>{col - 1}</x:Column></x:ClientData></v:shape>')
+    drawn = kinds.get(DRAWING)
+    shape_part = known[drawn.get("Id")] if drawn is not None else f"xl/drawings/notes_{stem}.vml"
+    spaces = 'xmlns:v="urn:schemas-microsoft-com:vml" xmlns:o="urn:schemas-microsoft-com:office:office" xmlns:x="urn:schemas-microsoft-com:office:excel"'
+    vml = f"<xml {spaces}>{''.join(shapes)}</xml>"
+    if drawn is not None and shape_part in package.namelist():  # other shapes stay; notes are drawn anew
+        kept = re.sub(r"(?s)<v:shape\b(?:(?!</v:shape>).)*ObjectType=\"Note\".*?</v:shape>", "", package.read(shape_part).decode("utf-8", "replace"))
+        vml = kept.replace("</xml>", "".join(shapes) + "</xml>")
+    for kind, at, found in ((COMMENTS, target, old), (DRAWING, shape_part, drawn)):
+        if found is None:
+            ET.SubElement(tree, f"{PACKAGE}Relationship", {"Id": "notes" if kind == COMMENTS else "noteShapes", "Type": kind, "Target": f"/{at}"})
+    out = {target: ET.tostring(root, encoding="UTF-8", xml_declaration=True), shape_part: vml.encode(), rels: ET.tostring(tree, encoding="UTF-8", xml_declaration=True)}
+    if drawn is None:
+        out[part] = _with_drawing(sheet, "noteShapes")
+    else:
+        out[part] = sheet
+    return out
+
+
+def _with_drawing(sheet: bytes, rel_id: str) -> bytes:
+    """The sheet with its legacy drawing, in the place that the format gives it."""
+    for _, (prefix, uri) in ET.iterparse(io.BytesIO(sheet), events=("start-ns",)):
+        ET.register_namespace(prefix, uri)
+    root = ET.fromstring(sheet)
+    later = {f"{MAIN}{n}" for n in ("legacyDrawingHF", "drawingHF", "picture", "oleObjects", "controls", "webPublishItems", "tableParts", "extLst")}
+    at = next((k for k, e in enumerate(root) if e.tag in later), len(root))
+    root.insert(at, ET.Element(f"{MAIN}legacyDrawing", {f"{REL}id": rel_id}))
+    return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def _typed(types: bytes, changed: dict[str, bytes]) -> bytes:
+    """The content types with those of comments and their shapes."""
+    space = "{http://schemas.openxmlformats.org/package/2006/content-types}"
+    root = ET.fromstring(types)
+    if not any(e.get("Extension") == "vml" for e in root):
+        root.insert(0, ET.Element(f"{space}Default", {"Extension": "vml", "ContentType": "application/vnd.openxmlformats-officedocument.vmlDrawing"}))
+    named = {e.get("PartName") for e in root}
+    for name in changed:
+        if posixpath.basename(name).startswith("comments") and f"/{name}" not in named:
+            ET.SubElement(root, f"{space}Override", {"PartName": f"/{name}", "ContentType": "application/vnd.openxmlformats-officedocument.spreadsheetml.comments+xml"})
+    return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def comments(package: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """The comments of a sheet by cell."""
+    held = [p for p in relations(package, part).values() if posixpath.basename(p).startswith("comments") and p in package.namelist()]
+    return {c.get("ref"): "".join(t.text or "" for t in c.iter(f"{MAIN}t")) for p in held for c in ET.fromstring(package.read(p)).iter(f"{MAIN}comment")}
+
+
 def _patched(sheet: bytes, values: dict[str, str]) -> bytes:
     for _, (prefix, uri) in ET.iterparse(io.BytesIO(sheet), events=("start-ns",)):
         ET.register_namespace(prefix, uri)

@@ -34,7 +34,12 @@ def test_agent_and_metrics(spark, tmp_path):
     pred = lines(tmp_path / "p.jsonl", [{"field_id": r.field_id, "answer_value": r.answer_value, "answer_status": r.answer_status, "confidence": r.confidence, "source_chunk_ids": r.source_chunk_ids} for r in got.values()])
     summary = commands.eval_fields(spark, gold, pred, str(tmp_path / "eval")).first()
     assert summary.field_count == 3 and abs(summary.semantic_match - 2 / 3) < 1e-9 and summary.abstention_precision == 1.0
-    assert spark.read.json(str(tmp_path / "run" / "trace")).count() == 27
+    trace = spark.read.json(str(tmp_path / "run" / "trace"))
+    assert {(r.field_id, r.step) for r in trace.where("step in ('repaired', 'reviewed')").collect()} == {("d", "repaired"), ("g", "reviewed")}
+    told = evidence.trace_summary(trace).first()
+    assert (told.n_events, told.n_fields, told.n_completed, told.n_answered, told.n_repaired, told.n_reviewed) == (23, 3, 3, 2, 1, 1)
+    table = spark.read.option("header", True).csv(str(tmp_path / "eval" / "rows_csv"))
+    assert table.count() == 3 and "field_id" in table.columns
 
 
 def test_baselines(spark, tmp_path):
@@ -49,6 +54,9 @@ def test_workbook(spark, tmp_path, capsys):
     pred = lines(tmp_path / "p.jsonl", [{"field_id": f, "target_cell": c, "answer_value": v, "answer_status": s} for f, c, v, s in rows])
     audit = {r.field_id: (r.cell, r.reason) for r in commands.fill_workbook(spark, str(tmp_path / "t.xlsx"), pred, str(tmp_path / "o.xlsx")).collect()}
     assert audit == {"a": ("C1", "written"), "b": ("B3", "skipped_formula"), "c": ("A1", "written"), "d": ("D9", "skipped_status")}
+    with ooxml.zipfile.ZipFile(tmp_path / "o.xlsx") as z:
+        notes = ooxml.comments(z, "xl/worksheets/sheet1.xml")
+    assert set(notes) == {"C1", "A1", "D9"} and notes["D9"].split("\n")[3] == "answer_status: not_found" and notes["C1"].startswith("confidence: 0.0000\nsource_chunk_ids: ")
     cells = {r[5]: r[7] for r in ooxml.workbook_rows("f", (tmp_path / "o.xlsx").read_bytes(), "cells")}
     assert cells["C1"] == "neu" and cells["A1"] == "x" and cells["B3"] == "4"
     commands.main(["show-config"])

@@ -95,3 +95,45 @@ def test_streams(spark, tmp_path, sf_dir):
         assert q.exception() is None
     want = {(r.start, r.step): r.n for r in traces.windowed(source).collect()}
     assert {(r.start, r.step): r.n for r in spark.table("q_w").collect()} == want
+
+
+def test_comments_join_what_a_cell_has():
+    notes = {("One", "C1"): "first\nline", ("One", "B3"): "other & <more>"}
+    plain = zipfile.ZipFile(io.BytesIO(workbook()))
+    types = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/></Types>'
+    book = package({n: plain.read(n) for n in plain.namelist()} | {"[Content_Types].xml": types})
+    once = ooxml.patch(book, {("One", "C1"): "new"}, notes)
+    part = "xl/worksheets/sheet1.xml"
+    with zipfile.ZipFile(io.BytesIO(once)) as z:
+        assert ooxml.comments(z, part) == {"C1": "first\nline", "B3": "other & <more>"}
+        assert z.read(part).count(b"legacyDrawing") == 1 and b"comments+xml" in z.read("[Content_Types].xml") and b'Extension="vml"' in z.read("[Content_Types].xml")
+        assert len(z.namelist()) == len(set(z.namelist()))
+    twice = ooxml.patch(once, {}, {("One", "C1"): "second", ("One", "D9"): "third"})
+    with zipfile.ZipFile(io.BytesIO(twice)) as z:
+        assert ooxml.comments(z, part) == {"C1": "first\nline\n\nsecond", "B3": "other & <more>", "D9": "third"}
+        shapes = [n for n in z.namelist() if n.endswith(".vml")]
+        assert len(shapes) == 1 and z.read(shapes[0]).count(b'ObjectType="Note"') == 3 and z.read(part).count(b"legacyDrawing") == 1
+    assert {r[5]: r[7] for r in ooxml.workbook_rows("f", twice, "cells")}["C1"] == "new"
+
+
+def test_objects_and_images_of_cells():
+    x = 'xmlns:xdr="http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    ole = f'<oleObjects {x}><oleObject progId="Word.Document" shapeId="1025" r:id="o1"><objectPr><anchor><from><xdr:col>1</xdr:col><xdr:row>4</xdr:row></from></anchor></objectPr></oleObject><oleObject progId="Word.Document" shapeId="1025" r:id="o1"/><oleObject progId="Package" shapeId="1026" r:id="o2"/></oleObjects>'
+    cells = '<row r="3"><c r="E3"><f>_xlfn.DISPIMG("ID_A",1)</f></c><c r="F3"><f>DISPIMG("ID_NONE",1)</f></c></row>'
+    book = package({
+        "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="One" sheetId="1" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": f'<Relationships {R}><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {S}><sheetData>{cells}</sheetData>{ole}</worksheet>",
+        "xl/worksheets/_rels/sheet1.xml.rels": f'<Relationships {R}><Relationship Id="o1" Target="../embeddings/a.docx"/><Relationship Id="o2" Target="../embeddings/b.bin"/></Relationships>',
+        "xl/cellimages.xml": f'<e:cellImages xmlns:e="urn:x" {x}><e:cellImage><xdr:pic><xdr:nvPicPr><xdr:cNvPr id="1" name="ID_A"/></xdr:nvPicPr><xdr:blipFill><a:blip r:embed="m1"/></xdr:blipFill></xdr:pic></e:cellImage></e:cellImages>',
+        "xl/_rels/cellimages.xml.rels": f'<Relationships {R}><Relationship Id="m1" Target="media/image9.jpeg"/></Relationships>',
+    })
+    got = {r[5]: (r[3], r[4], r[6], r[8]) for r in ooxml.workbook_rows("f", book, "attachments")}
+    assert got == {"att_f_1025_ole": (5, 2, "xl/embeddings/a.docx", "ole_object"), "att_f_1026_ole": (None, None, "xl/embeddings/b.bin", "ole_object"), "att_f_0_E3_cell": (3, 5, "xl/media/image9.jpeg", "cell_image")}
+
+
+def test_a_package_that_breaks_midway_gives_no_rows(spark):
+    plain = zipfile.ZipFile(io.BytesIO(workbook()))
+    parts = {n: plain.read(n) for n in plain.namelist()}
+    parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace(b"</sheetData>", b"<broken")
+    held = spark.createDataFrame([("bad", bytearray(package(parts))), ("good", bytearray(workbook()))], "file_id string, content binary")
+    assert {r.file_id for r in ooxml.cells(held).collect()} == {"good"}
