@@ -4,14 +4,14 @@ Each whole text becomes a 64-bit fingerprint. Equal fingerprints are one point.
 from a bounded sample, cuts the points into shards: at each node, those within a radius of the vantage point go
 one way, the others the other way. By the triangle inequality a point can only have neighbours on the other side
 if its distance to the vantage point is within the link distance of the radius; such points also visit that side
-as guests. Each shard then finds its links exactly, with a tree of its own in memory, and returns a star for each
-group that it has found, never all pairs. The stars of all shards are joined to components.
+as guests.
 
 The tree is cut no finer than guests allow: where a branch gets more than ``GUESTS`` times its own points, it stays a
-shard. Shards are counted, and heavy ones, whether for that or for a crowd of near copies that no vantage point
-parts, are dealt out further: of six parts of the fingerprint, three bits that differ leave three equal (of five two,
-of four one), so points that share such a choice of parts meet in a cell and are linked there. Each heavy shard has
-parts of its own, with the bits that vary in it spread evenly over them.
+shard. So a shard can hold many points, as can one with a crowd of near copies that no vantage point parts. Shards are
+therefore counted and dealt out to cells: of four parts of a fingerprint, three bits that differ leave one equal (of
+five two, of six three), so points that share such a choice of parts meet in a cell, and are linked there, by a tree in
+memory where many share it. Each shard has parts of its own, with the bits that vary in it spread evenly over them. A
+cell returns a star for each group that it has found, never all pairs; the stars of all cells are joined to components.
 
 Radii are not medians: distances between unrelated fingerprints crowd around 32, where a median cut sends most
 points both ways. Each node takes the vantage point and radius whose cut costs least, from the sample's distances.
@@ -39,8 +39,7 @@ SAMPLE = 65_536
 SHARD = 16_384
 #: Times its own points that a branch of the tree may get, with guests.
 GUESTS = 3.0
-#: Rows of a shard from which it is dealt out by parts of the fingerprint, and rows of such a cell on average.
-HEAVY = 16_384
+#: Rows of a cell, on average.
 CELL = 8_192
 #: Points of a leaf of the trees in memory.
 LEAF = 256
@@ -224,13 +223,6 @@ def _route_batches(nodes: list[tuple]):
     return run
 
 
-def _link_shard(group: pa.Table) -> pa.Table:
-    signed = group["print"].to_numpy().astype(np.int64)
-    root = link(signed.view(np.uint64), group["home"].to_numpy().astype(bool))
-    linked = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"u": signed[linked], "v": signed[root[linked]]})
-
-
 def choices(ones: np.ndarray, n: int) -> np.ndarray:
     """Masks of which two fingerprints that differ in DISTANCE bits at most have one in common, for ``n`` points with ``ones`` of each bit.
 
@@ -299,18 +291,14 @@ def links(prints: DataFrame, n: int) -> DataFrame:
     dealt = materialise(prints.mapInArrow(_route_batches(nodes), "shard int, print long, home boolean"))
     # a row for each shard, of which there are no more than a 64th of the sample
     ones = [F.sum(F.shiftrightunsigned("print", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    counted = dealt.groupBy("shard").agg(F.count("*").alias("n"), *ones).where(F.col("n") > HEAVY).collect()
-    heavy = {}
-    for row in counted:
+    split = {}
+    for row in dealt.groupBy("shard").agg(F.count("*").alias("n"), *ones).collect():
         masks = choices(np.array(row[2:], float), row["n"])
-        heavy[row["shard"]] = (masks, -(-row["n"] * len(masks) // CELL))
-    if not heavy:
-        return dealt.groupBy("shard").applyInArrow(_link_shard, "u long, v long")
-    light = dealt.where(~F.col("shard").isin(list(heavy))).groupBy("shard").applyInArrow(_link_shard, "u long, v long")
-    cells = dealt.where(F.col("shard").isin(list(heavy))).mapInArrow(_deal_batches(heavy), "shard int, cell int, key long, print long, home boolean")
-    n_cells = sum(x for _, x in heavy.values())
-    cells = cells.repartition(min(n_cells, max(2_000, n_cells // 64)), "shard", "cell")
-    return light.unionByName(cells.groupBy("shard", "cell").applyInArrow(_link_cell, "u long, v long"))
+        split[row["shard"]] = (masks, -(-row["n"] * len(masks) // CELL))
+    cells = dealt.mapInArrow(_deal_batches(split), "shard int, cell int, key long, print long, home boolean")
+    n_cells = sum(x for _, x in split.values())
+    cells = cells.repartition(max(1, min(n_cells, max(2_000, n_cells // 64))), "shard", "cell")
+    return cells.groupBy("shard", "cell").applyInArrow(_link_cell, "u long, v long")
 
 
 def grouped(rows: DataFrame) -> DataFrame:

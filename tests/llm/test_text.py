@@ -220,7 +220,7 @@ def test_choices_of_parts_meet(spread):
             assert not np.bitwise_and(masks, np.uint64(sum(1 << b for b in bits))).all()
 
 
-def test_heavy_shards_are_dealt_out(spark, monkeypatch):
+def test_shards_are_dealt_out(spark, monkeypatch):
     """A crowd of near copies and random points: cells give the groups of comparing all pairs."""
     rng = np.random.default_rng(12)
     crowd = np.full(1500, rng.integers(0, 2**62), np.uint64)
@@ -232,8 +232,8 @@ def test_heavy_shards_are_dealt_out(spark, monkeypatch):
     for i in range(0, len(points), 500):
         a, b = np.nonzero(simhash.apart(points[i : i + 500][:, None], points[None, :]) <= 3)
         want.add(a + i, b)
-    for heavy, leaf in ((100, 256), (100, 4), (10**6, 256)):
-        monkeypatch.setattr(simhash, "HEAVY", heavy)
+    for cell, leaf in ((100, 256), (100, 4), (8192, 256)):
+        monkeypatch.setattr(simhash, "CELL", cell)
         monkeypatch.setattr(simhash, "LEAF", leaf)
         monkeypatch.setattr(simhash, "SHARD", 300)
         prints = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "print long")
