@@ -330,12 +330,12 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each group of near copies the smallest doc_id.
 
-    Links are those of ``sketch.similar_links`` at a similarity of 0.8. The tree over fingerprints of ``words``-word
+    Links are those of ``sketch.similar_groups`` at a similarity of 0.8. The tree over fingerprints of ``words``-word
     shingles adds candidates to it, no links: fingerprints count repeats, so one line often repeated brings texts
     together that differ in all else. Texts without words are no copies of one another here. Rows of a null doc_id stay;
     rows that share a doc_id stay or go together.
     """
-    from .sketch import similar_links, sketches
+    from .sketch import similar_groups, sketches
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
     sketched = sketches(texts, words)
@@ -345,6 +345,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     stars = links(prints.select("print"), prints.count())
     first = prints.select("print", "first_id")
     near = stars.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = components(similar_links(texts, words, also=same.unionByName(near), sketched=sketched))
+    groups = similar_groups(texts, words, also=same.unionByName(near), sketched=sketched)
     losers = groups.where("node != component").select("node")
     return docs.join(losers, docs["doc_id"] == losers["node"], "left_anti")
