@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from sheafline.llm import simhash
+from sheafline.llm import simhash, sketch
 
 
 def kept(spark, texts):
@@ -51,3 +51,20 @@ def test_pairs_that_no_leader_has(spark):
                 of = [min(x, y) if z in (x, y) else z for z in of]
     assert len(set(of)) <= 301
     assert kept(spark, texts) == sorted(set(of))
+
+
+def test_whole_sketches_decide_but_for_the_limit():
+    rng, left = np.random.default_rng(0), 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 760))
+        x = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        y = x.copy()
+        k = int(rng.integers(0, n // 4 + 1))
+        y[:k] = rng.integers(0, 2**63, k).astype(np.uint64)
+        shared = len(np.intersect1d(x, y))
+        true = shared / (2 * n - shared)
+        near, off = sketch.compare(*(np.unique((z >> np.uint64(32)).astype("<u4"))[: sketch.SKETCH].tobytes() for z in (x, y)))
+        assert abs(near - true) < off
+        assert off <= sketch.MARGIN
+        left += abs(near - 0.8) < off
+    assert left < 600
