@@ -25,12 +25,15 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DRAW = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
 BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
 
-CELLS = "file_id string, sheet_index int, sheet_name string, row int, col int, cell string, kind string, value string, formula string, formula_kind string"
+CELLS = "file_id string, sheet_index int, sheet_name string, row int, col int, cell string, kind string, value string, formula string, formula_kind string, style int"
 MERGES = "file_id string, sheet_index int, sheet_name string, first_row int, last_row int, first_col int, last_col int"
-ATTACHMENTS = "file_id string, sheet_index int, sheet_name string, row int, col int, attachment_id string, media_path string, content_type string, anchor_type string"
+ATTACHMENTS = "file_id string, sheet_index int, sheet_name string, row int, col int, attachment_id string, media_path string, content_type string, anchor_type string, preview_path string"
+LAYOUT = "file_id string, sheet_index int, sheet_name string, kind string, first int, last int, ref string"
 BLOCKS = "file_id string, block_index long, block_type string, style string, level int, table_index int, row int, col int, text string"
 MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "emf": "image/x-emf", "wmf": "image/x-wmf", "tif": "image/tiff", "tiff": "image/tiff"}
+HIDDEN = ("1", "true")
 IMAGE_CALL = re.compile(r'DISPIMG\("([^"]+)"', re.IGNORECASE)
+SHAPE_ID = re.compile(r"_x0000_s(\d+)")
 REF = re.compile(r"\$?([A-Z]{1,3})\$?(\d+)")
 
 
@@ -53,13 +56,45 @@ def relations(package: zipfile.ZipFile, part: str) -> dict[str, str]:
     return {r.get("Id"): target(r.get("Target", "")) for r in ET.fromstring(package.read(name)).iter(f"{PACKAGE}Relationship")}
 
 
-def sheets(package: zipfile.ZipFile) -> Iterator[tuple[int, str, str]]:
-    """(index, name, part) of a workbook's sheets, in its order."""
+def listed_sheets(package: zipfile.ZipFile) -> Iterator[tuple[int, str, str]]:
+    """(index, name, part) of the sheets that a workbook lists, in its order, whether the part is there or not."""
     known = relations(package, "xl/workbook.xml")
     for i, s in enumerate(ET.fromstring(package.read("xl/workbook.xml")).iter(f"{MAIN}sheet")):
-        part = known.get(s.get(f"{REL}id"), "")
-        if part in package.namelist():
-            yield i, s.get("name", ""), part
+        yield i, s.get("name", ""), known.get(s.get(f"{REL}id"), "")
+
+
+def sheets(package: zipfile.ZipFile) -> Iterator[tuple[int, str, str]]:
+    """The listed sheets whose part is there."""
+    held = set(package.namelist())
+    return (s for s in listed_sheets(package) if s[2] in held)
+
+
+def layout_rows(file_id: str, data: bytes) -> Iterator[tuple]:
+    """What a workbook says of its sheets besides cells, as ranges: ``sheet`` (ref: its part), ``missing`` (a sheet without its part), ``dimension`` (ref: as declared), ``hidden_rows``, ``hidden_cols``."""
+    with zipfile.ZipFile(io.BytesIO(data)) as package:
+        held = set(package.namelist())
+        for i, name, part in listed_sheets(package):
+            yield file_id, i, name, "sheet" if part in held else "missing", None, None, part
+            if part not in held:
+                continue
+            first = last = None
+            with package.open(part) as stream:
+                for _, e in ET.iterparse(stream):
+                    if e.tag == f"{MAIN}dimension":
+                        yield file_id, i, name, "dimension", None, None, e.get("ref")
+                    elif e.tag == f"{MAIN}col" and e.get("hidden") in HIDDEN:
+                        yield file_id, i, name, "hidden_cols", int(float(e.get("min", "0"))), int(float(e.get("max", "0"))), None
+                    elif e.tag == f"{MAIN}row":
+                        at = int(e.get("r", "0"))
+                        if e.get("hidden") in HIDDEN and at:
+                            if last != at - 1:  # hidden rows that follow one another are one range
+                                if first:
+                                    yield file_id, i, name, "hidden_rows", first, last, None
+                                first = at
+                            last = at
+                        e.clear()
+            if first:
+                yield file_id, i, name, "hidden_rows", first, last, None
 
 
 def shared_strings(package: zipfile.ZipFile) -> list[str]:
@@ -96,7 +131,7 @@ def workbook_rows(file_id: str, data: bytes, what: str) -> Iterator[tuple]:
                         kind, value, formula, formula_kind = cell_value(e, strings)
                         if value is not None or formula is not None:
                             row, col = place(e.get("r"))
-                            yield file_id, i, name, row, col, e.get("r"), kind, value, formula, formula_kind
+                            yield file_id, i, name, row, col, e.get("r"), kind, value, formula, formula_kind, int(e.get("s")) if (e.get("s") or "").isdigit() else None
                     elif what == "merges" and e.tag == f"{MAIN}mergeCell":
                         first, _, last = e.get("ref", "").partition(":")
                         (r1, c1), (r2, c2) = place(first), place(last or first)
@@ -118,9 +153,44 @@ def cell_images(package: zipfile.ZipFile) -> dict[str, str]:
     return found
 
 
-def objects_of(package: zipfile.ZipFile, part: str) -> Iterator[tuple[str, str, str | None, tuple[int, int] | None]]:
-    """(shape id, object's part, program, cell) of the objects that a sheet embeds, each once; the cell is null where the sheet gives none."""
+def legacy_shapes(package: zipfile.ZipFile, part: str) -> dict[str, tuple[tuple[int, int] | None, str | None]]:
+    """Cell and preview image of the shapes in a sheet's legacy drawings, by shape id.
+
+    An anchor is eight numbers, of which the first is the left column and the third the top row, both from 0. A drawing
+    that can't be read has no shapes; a shape without an anchor, or with one that isn't numbers, has no cell.
+    """
+    found, held = {}, set(package.namelist())
+    for drawing in (p for p in relations(package, part).values() if p.endswith(".vml") and p in held):
+        media = relations(package, drawing)
+        try:
+            root = ET.fromstring(package.read(drawing))
+        except ET.ParseError:
+            continue
+        for shape in (e for e in root.iter() if e.tag.rpartition("}")[2] == "shape"):
+            named = {k.rpartition("}")[2].lower(): v for k, v in shape.attrib.items()}
+            number = SHAPE_ID.search(named.get("spid") or "") or SHAPE_ID.search(named.get("id") or "")
+            if number is None:
+                continue
+            parts = {e.tag.rpartition("}")[2].lower(): e for e in shape.iter()}
+            cell = preview = None
+            if "anchor" in parts:
+                numbers = [x.strip() for x in (parts["anchor"].text or "").split(",")]
+                if len(numbers) >= 3 and all(re.fullmatch(r"-?\d+", x) for x in numbers):
+                    cell = int(numbers[2]) + 1, int(numbers[0]) + 1
+            if "imagedata" in parts:
+                ids = {k.rpartition("}")[2].lower(): v for k, v in parts["imagedata"].attrib.items()}
+                preview = media.get(ids.get("relid") or "")
+            found[number.group(1)] = cell, preview
+    return found
+
+
+def objects_of(package: zipfile.ZipFile, part: str) -> Iterator[tuple[str, str, str | None, tuple[int, int] | None, str | None]]:
+    """(shape id, object's part, program, cell, preview) of the objects that a sheet embeds, each once.
+
+    The cell is the one that the sheet itself names, else that of the object's shape in a legacy drawing, else null.
+    """
     targets, seen = relations(package, part), set()
+    shapes = legacy_shapes(package, part)
     with package.open(part) as stream:
         for _, e in ET.iterparse(stream):
             if e.tag != f"{MAIN}oleObject":
@@ -131,7 +201,8 @@ def objects_of(package: zipfile.ZipFile, part: str) -> Iterator[tuple[str, str,
             seen.add((shape, target))
             at = next(e.iter(f"{MAIN}from"), None)
             cell = None if at is None else (int(at.findtext(f"{DRAW}row", "0")) + 1, int(at.findtext(f"{DRAW}col", "0")) + 1)
-            yield shape, target, e.get("progId"), cell
+            drawn, preview = shapes.get(shape, (None, None))
+            yield shape, target, e.get("progId"), cell or drawn, preview
 
 
 def anchored(package: zipfile.ZipFile, file_id: str, index: int, name: str, part: str) -> Iterator[tuple]:
@@ -139,7 +210,7 @@ def anchored(package: zipfile.ZipFile, file_id: str, index: int, name: str, part
 
     The corrected attribute ``r:embed`` is read first, then ``r:id``.
     """
-    drawings = [p for p in relations(package, part).values() if "/drawings/" in p and p in package.namelist()]
+    drawings = [p for p in relations(package, part).values() if "/drawings/" in p and p.endswith(".xml") and p in package.namelist()]
     for drawing in drawings:
         media = relations(package, drawing)
         for k, anchor in enumerate(ET.fromstring(package.read(drawing))):
@@ -149,10 +220,10 @@ def anchored(package: zipfile.ZipFile, file_id: str, index: int, name: str, part
             path = media.get(blip.get(f"{REL}embed") or blip.get(f"{REL}id") or "", "")
             row, col = int(at.findtext(f"{DRAW}row", "0")) + 1, int(at.findtext(f"{DRAW}col", "0")) + 1
             kind = MEDIA_TYPES.get(path.rpartition(".")[2].lower(), "application/octet-stream")
-            yield file_id, index, name, row, col, f"att_{file_id}_{index}_{posixpath.basename(drawing)}_{k}", path, kind, "drawing"
-    for shape, path, _, cell in objects_of(package, part):
+            yield file_id, index, name, row, col, f"att_{file_id}_{index}_{posixpath.basename(drawing)}_{k}", path, kind, "drawing", None
+    for shape, path, _, cell, preview in objects_of(package, part):
         kind = mimetypes.guess_type(path)[0] or "application/vnd.openxmlformats-officedocument.oleObject"
-        yield file_id, index, name, *(cell or (None, None)), f"att_{file_id}_{shape}_ole", path, kind, "ole_object"
+        yield file_id, index, name, *(cell or (None, None)), f"att_{file_id}_{shape}_ole", path, kind, "ole_object", preview
     images = cell_images(package)
     if images:
         with package.open(part) as stream:
@@ -160,7 +231,7 @@ def anchored(package: zipfile.ZipFile, file_id: str, index: int, name: str, part
                 if e.tag == f"{MAIN}c" and e.get("r") and (call := IMAGE_CALL.search(e.findtext(f"{MAIN}f") or "")) and call.group(1) in images:
                     row, col = place(e.get("r"))
                     path = images[call.group(1)]
-                    yield file_id, index, name, row, col, f"att_{file_id}_{index}_{e.get('r')}_cell", path, MEDIA_TYPES.get(path.rpartition(".")[2].lower(), "application/octet-stream"), "cell_image"
+                    yield file_id, index, name, row, col, f"att_{file_id}_{index}_{e.get('r')}_cell", path, MEDIA_TYPES.get(path.rpartition(".")[2].lower(), "application/octet-stream"), "cell_image", None
 
 
 def heading_level(style: str | None) -> int:
@@ -238,6 +309,10 @@ def attachments(files: DataFrame) -> DataFrame:
     return _of(files, lambda i, d: workbook_rows(i, d, "attachments"), ATTACHMENTS)
 
 
+def layout(files: DataFrame) -> DataFrame:
+    return _of(files, layout_rows, LAYOUT)
+
+
 def blocks(files: DataFrame) -> DataFrame:
     return _of(files, document_rows, BLOCKS)
 
