@@ -29,8 +29,9 @@ from sheafline.stored import stored
 #: Packages that are documents, by a part that they have, and the parts of them that are objects.
 DOCUMENT_PARTS = ("word/document.xml", "xl/workbook.xml", "ppt/presentation.xml", "visio/document.xml")
 EMBEDDED = re.compile(r"(?:word|xl|ppt|visio)/embeddings/[^/]+")
-#: Bytes of members that a task hands on at once.
+#: Bytes of members that a task hands on at once, and of packed objects that a task opens.
 HANDED = 16_777_216
+TASK_BYTES = 33_554_432
 
 
 @dataclass(frozen=True)
@@ -142,8 +143,7 @@ def _round(frontier: DataFrame, spent: DataFrame, limits: Limits, n: int) -> Dat
     sizes = frontier.groupBy("root_id").agg(F.sum(size).alias("all"))
     left = sizes.join(spent, "root_id", "left").select("root_id", "all", F.greatest(F.lit(0), F.lit(limits.root_bytes) - F.coalesce("bytes", F.lit(0))).alias("left"))
     share = F.when(F.col("all") > 0, F.floor(F.col("left") * (size / F.col("all")))).otherwise(0).cast("long")
-    # an object is few bytes with much work behind them: their counted number decides how many tasks there are
-    dealt = frontier.join(left, "root_id").withColumn("budget", share).drop("all", "left").repartition(max(1, n), "object_id")
+    dealt = frontier.join(left, "root_id").withColumn("budget", share).drop("all", "left").repartition(n, "object_id")
     return stored(dealt.mapInArrow(_open_batches(limits), NODE))
 
 
@@ -165,8 +165,12 @@ def expanded(attachments: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     frontier, levels = stored(start), []
     spent = frontier.sparkSession.createDataFrame([], "root_id string, bytes long")
-    while n := frontier.count():
-        level = _round(frontier, spent, limits, n)
+    while True:
+        n, size = frontier.agg(F.count("*"), F.sum(F.octet_length("content"))).first()
+        if not n:
+            break
+        # an object is few bytes with much work behind them: what was counted decides how many tasks there are
+        level = _round(frontier, spent, limits, min(n, max(2 * frontier.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))))
         levels.append(level.where("itself"))
         frontier = level.where("not itself")
         read = frontier.where("status is null").groupBy("root_id").agg(F.sum("size").alias("bytes"))
