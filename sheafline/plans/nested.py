@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafline.operators import ingestion, intervals
-from sheafline.sources import archives
+from sheafline.sources import archives, clusters
+from sheafline.stored import scratch
 
-from .catalogue import query, read
+from .catalogue import COSINE_SQL, query, read
 
 # --- archives ----------------------------------------------------------------------------------------------------
 
@@ -171,3 +172,24 @@ def expanded_manifest(spark, sf_dir):
 def manifest_totals(spark, sf_dir):
     parts = _manifest_parts(spark, sf_dir)
     return ingestion.manifest_summary(parts, ingestion.expanded_manifest(parts)).where("facet not in ('corpus_layer', 'embedding_policy')")
+
+
+# --- vectors by cluster ----------------------------------------------------------------------------------------------
+
+
+def _clustered(spark, sf_dir):
+    held = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label") < 5, "a").otherwise("b").alias("namespace"), F.col("embedding").alias("vector"))
+    asked = held.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "namespace", "vector")
+    return asked, clusters.write(held, scratch(spark))
+
+
+@query(f"with {COSINE_SQL} select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s) where rank <= 10")
+def clustered_topk(spark, sf_dir):
+    """The stated query set is every vector whose id is divisible by 50, against all vectors, by clusters with bounds."""
+    return clusters.search(*_clustered(spark, sf_dir), 10).select("query_id", "chunk_id", "rank")
+
+
+@query(f"with {COSINE_SQL} select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s where namespace = target) where rank <= 5")
+def clustered_target_topk(spark, sf_dir):
+    """The same within each query's own namespace."""
+    return clusters.search(*_clustered(spark, sf_dir), 5, "target").select("query_id", "chunk_id", "rank")
