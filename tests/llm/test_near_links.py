@@ -68,3 +68,55 @@ def test_whole_sketches_decide_but_for_the_limit():
         assert off <= sketch.MARGIN
         left += abs(near - 0.8) < off
     assert left < 600
+
+
+def keys_of(spark, sets):
+    """The keys of the bands of texts whose distinct words are their one-word shingles."""
+    texts = spark.createDataFrame([(k, " ".join(str(x) for x in s)) for k, s in enumerate(sets)], "node long, text string")
+    return {r.node: set(r.bands) for r in sketch.sketches(texts, 1).collect()}
+
+
+def test_similar_sets_share_a_band(spark):
+    rng = np.random.default_rng(11)
+    for size in (9, 30, 80, 105, 118, 127, 128, 150, 161, 300, 600, 2000):
+        sets = []
+        for k in range(150):
+            joint, own = round(size * 0.8) + 1, size - round(size * 0.8) - 1  # just above the limit
+            base = rng.integers(0, 2**40, joint + own)
+            cut = int(rng.integers(0, own + 1))
+            sets += [base[: joint + cut], np.concatenate((base[:joint], base[joint + cut :]))]
+        keys = keys_of(spark, sets)
+        met = sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(150))
+        assert met >= 0.97 * 150, (size, met)
+
+
+def test_texts_of_common_sentences_make_few_candidates(spark):
+    rng = np.random.default_rng(0)
+    sentences = [" ".join(f"w{s}x{i}" for i in range(10)) for s in range(60)]
+    counts = []
+    for n in (300, 1200):
+        rows = [(k, " ".join(sentences[i] for i in rng.permutation(60)[:30])) for k in range(n)]
+        keys = keys_of_words(spark, rows)
+        counts.append(len({tuple(sorted(p)) for held in keys.values() for p in ((a, b) for a in held for b in held if a < b)}))
+    assert counts[1] < 400
+
+
+def keys_of_words(spark, rows):
+    held = {}
+    for r in sketch.sketches(spark.createDataFrame(rows, "node long, text string"), 5).collect():
+        for key in r.bands:
+            held.setdefault(key, []).append(r.node)
+    return held
+
+
+def test_hot_bands_lose_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "HOT", 2)
+    rng, texts, want = np.random.default_rng(12), [], []
+    page = [f"p{i}" for i in range(60)]
+    for k in range(120):  # a passage that all share, and copies of every third text
+        words = page + [f"d{k}x{i}" for i in rng.permutation(25)]
+        want.append(len(texts))
+        texts.append(" ".join(words))
+        if k % 3 == 0:
+            texts.append(" ".join([*words[:-2], "one", "two"]))
+    assert kept(spark, texts) == want
