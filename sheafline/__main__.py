@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline import config, schemas
-from sheafline.operators import evidence, experiments, metrics, planning, writeback
+from sheafline.operators import evidence, experiments, metrics, planning, proofs, writeback
 from sheafline.sources import ooxml
 
 
@@ -62,21 +62,35 @@ def run_agent(spark: SparkSession, gold: str, corpus: str, out: str, target: str
     return stored
 
 
-def fill_workbook(spark: SparkSession, template: str, pred: str, out: str, safe: bool = True, comments: bool = True, trace_id: str | None = None) -> DataFrame:
-    """A copy of the template with the answers that may be written and comments that tell their sources; returns the audit of all."""
+def fill_workbook(spark: SparkSession, template: str, pred: str, out: str, safe: bool = True, comments: bool = True, trace_id: str | None = None, trace: str | None = None) -> DataFrame:
+    """A copy of the template with the answers that may be written and comments that tell their sources; returns the audit of all.
+
+    ``trace``: trace events as JSON Lines; each field's last event by ``seq`` (null where there is none) names its trace,
+    before ``trace_id``. The audit, the review items and the evidence map are written as JSON Lines beside ``out``, below
+    its name and ``.audit``, ``.review_items`` and ``.evidence_map``.
+    """
     data = Path(template).read_bytes()
     book = spark.createDataFrame([("template", bytearray(data))], "file_id string, content binary")
     cells, merges = ooxml.cells(book), ooxml.merges(book)
     first = next(name for _, name, _ in ooxml.sheets(ooxml.zipfile.ZipFile(template)))
     placed = writeback.targets(schemas.predictions(spark, pred), first, merges.select("sheet_name", "first_row", "last_row", "first_col", "last_col"))
-    acted = writeback.commented(writeback.actions(placed, cells.where("formula is not null").select("sheet_name", "row", "col"), safe), trace_id)
-    audit = acted.select("field_id", "sheet_name", "cell", "action", "reason", "answer_value", "answer_status", "write_comment", "trace_id", "comment")
+    acted = writeback.actions(placed.withColumnRenamed("source_ids", "source_chunk_ids"), cells.where("formula is not null").select("sheet_name", "row", "col"), safe)
+    if trace:
+        events = spark.read.json(trace)
+        seq = F.col("seq").cast("long") if "seq" in events.columns else F.lit(None).cast("long")
+        acted = proofs.traced(acted, proofs.trace_index(events.withColumn("seq", seq), ["seq"])).withColumn("trace_id", F.coalesce("trace_id", F.lit(trace_id)))
+    acted = writeback.commented(acted, None if trace else trace_id)
+    audit = acted.select("field_id", "ordinal", "target_cell", "sheet_name", "cell", "action", "reason", "answer_value", "answer_status", "confidence", "source_chunk_ids", "evidence_attachment_ids", "write_comment", "trace_id", "comment")
     rows = audit.collect()  # the answers of one workbook
     values: dict[tuple[str, str], str] = defaultdict(str)
     values.update({(r.sheet_name, r.cell): r.answer_value or "" for r in rows if r.action == "written"})
     notes: dict[tuple[str, str], str] = {(r.sheet_name, r.cell): r.comment for r in rows if r.write_comment and comments}
     Path(out).write_bytes(ooxml.patch(data, values, notes))
-    return spark.createDataFrame(rows, audit.schema)
+    told = spark.createDataFrame(rows, audit.schema)
+    _write(told.drop("ordinal"), f"{out}.audit")
+    _write(proofs.review_items(told), f"{out}.review_items")
+    _write(proofs.evidence_map(told, ["ordinal"]), f"{out}.evidence_map")
+    return told
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -89,6 +103,7 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument(f"--{name}", required=True)
         if verb == "writeback":
             sub.add_argument("--mode", choices=("safe", "overwrite"), default="safe")
+            sub.add_argument("--trace")
     args = parser.parse_args(argv)
     settings = config.load(args.config)
     if args.verb == "show-config":
@@ -102,7 +117,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.verb == "run-agent":
         run_agent(spark, args.gold, args.corpus, args.out, args.target, settings=settings).show(truncate=False)
     else:
-        writeback.summary(fill_workbook(spark, args.template, args.pred, args.out, args.mode == "safe")).show(truncate=False)
+        writeback.summary(fill_workbook(spark, args.template, args.pred, args.out, args.mode == "safe", trace=args.trace)).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -30,7 +30,7 @@ def golds(spark: SparkSession, path: str) -> DataFrame:
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = _lines(spark, path, PREDICTION)
-    return rows.select("field_id", "ordinal", "target_cell", "answer_value", F.coalesce("answer_status", F.lit("answered")).alias("answer_status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("source_chunk_ids", none).alias("source_ids"), F.col("validation.validation_pass").alias("validation_pass"), F.col("validation.evidence_missing").alias("evidence_missing"), F.col("validation.constraint_violations").alias("violations"))
+    return rows.select("field_id", "ordinal", "target_cell", "answer_value", F.coalesce("answer_status", F.lit("answered")).alias("answer_status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("source_chunk_ids", none).alias("source_ids"), F.coalesce("evidence_attachment_ids", none).alias("evidence_attachment_ids"), F.col("validation.validation_pass").alias("validation_pass"), F.col("validation.evidence_missing").alias("evidence_missing"), F.col("validation.constraint_violations").alias("violations"))
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:

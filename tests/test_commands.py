@@ -59,5 +59,12 @@ def test_workbook(spark, tmp_path, capsys):
     assert set(notes) == {"C1", "A1", "D9"} and notes["D9"].split("\n")[3] == "answer_status: not_found" and notes["C1"].startswith("confidence: 0.0000\nsource_chunk_ids: ")
     cells = {r[5]: r[7] for r in ooxml.workbook_rows("f", (tmp_path / "o.xlsx").read_bytes(), "cells")}
     assert cells["C1"] == "neu" and cells["A1"] == "x" and cells["B3"] == "4"
+    told = lines(tmp_path / "t.jsonl", [{"seq": 2, "field_id": "a", "run_id": "late"}, {"seq": 1, "field_id": "a", "trace_id": "early"}, {"seq": 1, "prediction": {"field_id": "d"}, "id": "own"}])
+    commands.fill_workbook(spark, str(tmp_path / "t.xlsx"), pred, str(tmp_path / "p.xlsx"), trace=told)
+    with ooxml.zipfile.ZipFile(tmp_path / "p.xlsx") as z:
+        notes = ooxml.comments(z, "xl/worksheets/sheet1.xml")
+    assert {k: v.rpartition("trace_id: ")[2] for k, v in notes.items()} == {"C1": "late", "A1": "", "D9": "own"}
+    assert {(r.field_id, r.reason) for r in spark.read.json(str(tmp_path / "p.xlsx.review_items")).collect()} == {("b", "skipped_formula"), ("d", "skipped_status")}
+    assert {r.field_id: r.trace_id for r in spark.read.json(str(tmp_path / "p.xlsx.evidence_map")).collect()} == {"a": "late", "b": None, "c": None, "d": "own"}
     commands.main(["show-config"])
     assert json.loads(capsys.readouterr().out)["agent"]["confidence_threshold"] == 0.72
