@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafline.operators import asof, contracts, proofs, reconcile
+from sheafline.stored import scratch
+from sheafline.streaming import runs
 
 from .catalogue import query, read
 
@@ -132,6 +134,24 @@ def answer_citations(spark, sf_dir):
     return proofs.citations(answers, hits)
 
 
+@query("""
+    with steps as (select user_id, strftime(ts, '%Y-%m') as month, event_id, epoch_us(ts) // 1000 as ms, event_type from events where user_id is not null and event_id is not null and ts is not null)
+    select user_id::varchar as run_id, month as field_id, count(*)::bigint as n_events, min(ms)::bigint as first_ms, max(ms)::bigint as last_ms, arg_max(event_type, event_id) as status,
+           bool_or(coalesce(event_type = 'purchase', false)) as completed, bool_or(coalesce(event_type = 'error', false)) as repaired, bool_or(coalesce(event_type = 'click', false)) as reviewed
+    from steps group by all
+""")
+def streamed_runs(spark, sf_dir):
+    """Events as a stream, delivered twice: a user's month is a field's run; purchases complete it, errors repair it, clicks review it."""
+    paths = f"{sf_dir}/events*.parquet"
+    kind = F.col("event_type")
+    step = F.when(kind == "purchase", "field_completed").when(kind == "error", "repaired").when(kind == "click", "reviewed").otherwise("other")
+    told = spark.readStream.schema(spark.read.parquet(paths).schema).parquet(paths)
+    events = told.select(F.col("user_id").cast("string").alias("run_id"), F.date_format("ts", "yyyy-MM").alias("field_id"), F.col("event_id").alias("seq"), step.alias("step"), kind.alias("status"), F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"))
+    twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+    found = runs.stored_runs(twice, scratch(spark), late="3650 days")
+    return found.select("run_id", "field_id", "n_events", "first_ms", "last_ms", "status", "completed", "repaired", "reviewed")
+
+
 # --- reconciliations -------------------------------------------------------------------------------------------------
 
 
