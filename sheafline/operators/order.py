@@ -37,24 +37,39 @@ def carry_forward(value: Column, within: Sequence[str], order: Sequence[str], lo
     return out
 
 
-def heading_paths(blocks: DataFrame, doc: str, order: str, level: str, text: str) -> DataFrame:
+def heading_paths(blocks: DataFrame, doc: str, order: str, level: str, text: str, deepest: int | None = None, width: int = 4096) -> DataFrame:
     """``blocks`` with ``heading_path``, the headings above each block.
 
     A heading of level L keeps the first L-1 entries of the path so far and adds itself; rows of no level are
     below the path so far. Entries are cut by place, so a skipped level leaves the path shorter than the level.
-    The fold runs over a document's headings only, and each block takes the path of the last heading before it.
+    All rows stay. A heading without a text is a null entry; rows of the same place in a document go by level and text;
+    rows without a document are one document, rows without a place its first ones. ``deepest`` is a bound on levels,
+    counted where it isn't given.
+
+    A heading's place in the path is its level or one more than the path was long, whichever is less, so over the
+    headings 1, 2, ... n of a document the path is as long as n plus the least of 0 and all level - number so far: a running
+    minimum, and its entries are the last heading of each place. Both are taken in buckets ``width`` wide of the order
+    column, and earlier buckets are one carried row each, so no task sorts more of a document than a bucket.
     """
-    titled = blocks.where(F.col(level) > 0)
-    grown = titled.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).cast("int").alias("l"), F.col(text).alias("t")))).alias("hs"))
-    step = F.aggregate(
-        "hs",
-        F.array().cast("array<struct<o: bigint, p: array<string>>>"),
-        lambda acc, h: F.concat(acc, F.array(F.struct(h["o"].cast("bigint").alias("o"), F.concat(F.slice(F.coalesce(F.try_element_at(acc, F.lit(-1))["p"], F.array().cast("array<string>")), F.lit(1), h["l"] - 1), F.array(h["t"])).alias("p")))),
-    )
-    paths = grown.select(F.col(doc).alias("__doc"), F.explode(step).alias("s")).select("__doc", F.col("s.o").alias("__o"), F.col("s.p").alias("__p"))
-    joined = blocks.join(paths, (F.col(doc) == F.col("__doc")) & (F.col(order) == F.col("__o")), "left")
-    filled = carry_forward(F.col("__p"), [doc], [order])
-    return joined.withColumn("heading_path", F.coalesce(filled, F.array().cast("array<string>"))).drop("__doc", "__o", "__p")
+    if deepest is None:
+        deepest = blocks.agg(F.max(level)).first()[0] or 0
+    titled, place = F.col(level) > 0, F.col("__skip") + F.col("__n") + F.least(F.col("__floor"), F.col("__low") - F.col("__skip"))
+    inside = Window.partitionBy("__key").orderBy(order, level, text).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("__key.doc").orderBy("__key.bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+    cut = blocks.withColumn("__key", F.struct(F.col(doc).alias("doc"), F.floor(F.col(order) / F.lit(width)).alias("bucket")))
+    near = cut.withColumn("__n", F.count(F.when(titled, 1)).over(inside)).withColumn("__low", F.min(F.when(titled, F.col(level) - F.col("__n"))).over(inside))
+    sums = near.groupBy("__key").agg(F.max("__n").alias("__count"), F.min("__low").alias("__least")).withColumn("__skip", F.coalesce(F.sum("__count").over(before), F.lit(0)))
+    sums = sums.withColumn("__floor", F.least(F.lit(0), F.min(F.col("__least") - F.col("__skip")).over(before))).select("__key", "__skip", "__floor")
+    placed = near.join(sums, "__key").withColumn("__place", place)
+
+    entry, places = F.struct(F.col(text).alias("t")), range(1, int(deepest) + 1)
+    own = [titled & (F.col("__place") == p) for p in places]
+    ends = placed.groupBy("__key").agg(F.lit(0).alias("__none"), *[F.max_by(entry, F.when(o, F.struct(order, level, text))).alias(f"__end{p}") for p, o in zip(places, own, strict=True)])
+    far = ends.select("__key", *[F.last(f"__end{p}", ignorenulls=True).over(before).alias(f"__far{p}") for p in places])
+    told = placed.withColumns({f"__near{p}": F.last(F.when(o, entry), ignorenulls=True).over(inside) for p, o in zip(places, own, strict=True)}).join(far, "__key")
+    entries = F.array(*[F.coalesce(f"__near{p}", f"__far{p}")["t"] for p in places]).cast("array<string>")
+    return told.select(*blocks.columns, F.slice(entries, F.lit(1), F.col("__place").cast("int")).alias("heading_path"))
 
 
 def first_match(rules: Sequence[tuple[Column, object]], otherwise: object = None) -> Column:

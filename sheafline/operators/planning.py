@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
 
 from .evidence import EMBEDDED, MAIN
 from .order import first_match
-from .retrieval import _Matcher, _query_blocks
+from .retrieval import HITS, Layer, Plan, _Matcher, _query_blocks, _running
 
 #: Fixed values: (intent, words of a question, other names to search by); the first whose words occur is the intent, all add their names.
 INTENTS = (
@@ -39,31 +39,43 @@ def query_plans(fields: DataFrame, target: str, context: str | None = None, glob
     })
 
 
-def mini_candidates(plans: DataFrame, chunks: DataFrame) -> DataFrame:
+def mini_candidates(plans: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
     """``field_id, chunk_id, score``: chunks of the field's id (0.5), or that hold the question or one of its tokens (0.2).
 
     Chunks of the target namespace add 0.3, main rows 0.2, embedded tables 0.15. ``plans(query_id, field_id,
     question_text, target_namespace)``, ``chunks(chunk_id, field_id, text, question_text, answer_value, namespace,
-    source_type)``. Ids are joined; texts are searched once for the tokens of all questions of a block.
+    source_type)``. Ids are joined; texts are searched once for the tokens of all questions of a block, and what is
+    found is scored there. With ``k`` only the best of each question stay, ties by chunk id; then a task yields no more than
+    ``k`` rows a question, however many chunks it reads.
     """
-    own = plans.select("query_id", "field_id").join(chunks.select("field_id", "chunk_id"), "field_id").select("query_id", "chunk_id", F.lit(0.5).alias("base"))
+    kinds = {MAIN: 0.2, EMBEDDED: 0.15}
+    bonus = F.when(F.col("namespace") == F.col("target_namespace"), 0.3).otherwise(0.0) + first_match([(F.col("source_type") == t, v) for t, v in kinds.items()], 0.0)
+    own = plans.select("query_id", "field_id", "target_namespace").join(chunks.select("field_id", F.col("chunk_id").cast("long").alias("chunk_id"), "namespace", "source_type"), "field_id")
+    found = own.select("query_id", "chunk_id", (F.lit(0.5) + bonus).alias("score"))
     tokens = F.filter(F.concat(F.array(F.coalesce("question_text", F.lit(""))), F.split("question_text", DELIMITERS)), lambda t: F.length(t) >= 2)
-    asked = plans.select("query_id", tokens.alias("tokens"))
-    stack = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.concat_ws(" ", "question_text", "text", "answer_value").alias("stack"))
-    found = own
-    for block in _query_blocks(asked, ["query_id", "tokens"]):
-        sent = chunks.sparkSession.sparkContext.broadcast([(r["query_id"], r["tokens"] or []) for r in block])
+    asked = plans.select("query_id", "target_namespace", tokens.alias("tokens"))
+    stack = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.concat_ws(" ", "question_text", "text", "answer_value").alias("stack"), F.col("namespace").cast("string").alias("namespace"), F.col("source_type").cast("string").alias("source_type"))
+    for block in _query_blocks(asked, ["query_id", "target_namespace", "tokens"]):
+        sent = chunks.sparkSession.sparkContext.broadcast([(r["query_id"], r["target_namespace"], r["tokens"] or []) for r in block])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher, ids = _Matcher(sent.value), np.array([q for q, _ in sent.value], np.int64)
-            for batch in batches:
-                for chunk, text in zip(batch["chunk_id"].to_pylist(), batch["stack"].to_pylist(), strict=True):
-                    hit = ids[matcher.scores(text) > 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(np.full(len(hit), chunk, np.int64)), pa.array(np.full(len(hit), 0.2))], ["query_id", "chunk_id", "base"])
+            matcher = _Matcher([(q, t) for q, _, t in sent.value])
+            ids, targets = np.array([q for q, _, _ in sent.value], np.int64), np.array([n for _, n, _ in sent.value], object)
 
-        found = found.unionByName(stack.mapInArrow(run, "query_id long, chunk_id long, base double"))
-    best = found.groupBy("query_id", "chunk_id").agg(F.max("base").alias("base"))
-    joined = best.join(plans.select("query_id", F.col("field_id").alias("asked_by"), "target_namespace"), "query_id").join(chunks.select("chunk_id", "namespace", "source_type"), "chunk_id")
-    more = F.when(F.col("namespace") == F.col("target_namespace"), 0.3).otherwise(0.0) + first_match([(F.col("source_type") == MAIN, 0.2), (F.col("source_type") == EMBEDDED, 0.15)], 0.0)
-    return joined.select(F.col("asked_by").alias("field_id"), "chunk_id", F.bround(F.col("base") + more, 6).alias("score"))
+            def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+                hits = [np.flatnonzero(matcher.scores(text)) for text in part["stack"].to_pylist()]
+                at, row = np.concatenate(hits), np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+                names, more = np.array(part["namespace"].to_pylist(), object)[row], np.array([kinds.get(t, 0.0) for t in part["source_type"].to_pylist()])[row]
+                same = np.array([n is not None and n == t for n, t in zip(names, targets[at], strict=True)], bool)
+                score = 0.2 + (np.where(same, 0.3, 0.0) + more)
+                return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(np.zeros(len(at), np.int32)), pa.array(part["chunk_id"].to_numpy(zero_copy_only=False)[row], pa.int64()), pa.array(score, pa.float64())], ["query_id", "layer", "chunk_id", "score"])
 
+            parts = (scored(batch.slice(i, 2048)) for batch in batches for i in range(0, batch.num_rows, 2048))
+            some = (part for part in parts if part.num_rows)
+            yield from some if k is None else _running(some, Plan(layers=(Layer("coarse", top_k=k),)))
+
+        found = found.unionByName(stack.mapInArrow(run, HITS).drop("layer"))
+    best = found.groupBy("query_id", "chunk_id").agg(F.bround(F.max("score"), 6).alias("score"))
+    if k is not None:
+        best = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("place") <= k)
+    return best.join(plans.select("query_id", "field_id"), "query_id").select("field_id", "chunk_id", "score")

@@ -48,10 +48,12 @@ HITS = "query_id long, layer int, chunk_id long, score double"
 
 
 def fixed_chunks(docs: DataFrame, size: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of ``size`` characters; an empty or null text is one empty piece. Adds ``part`` and ``chunk_text``."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    starts = F.sequence(F.lit(0), F.greatest(F.length(body), F.lit(1)) - 1, F.lit(size))
-    return docs.select(id_column, body.alias("__body"), F.posexplode(starts).alias("part", "__at")).select(id_column, "part", F.substring(F.col("__body"), F.col("__at") + 1, F.lit(size)).alias("chunk_text"))
+    """Pieces of ``size`` characters; an empty or null text is one empty piece. Adds ``part`` and ``chunk_text``.
+
+    One pass cuts a text, and rows of pieces don't carry it.
+    """
+    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{int(size)}}}+"), F.lit(0))
+    return docs.select(id_column, F.posexplode(F.when(F.length(text) > 0, cut).otherwise(F.array(F.lit("")))).alias("part", "chunk_text"))
 
 
 class _Matcher:

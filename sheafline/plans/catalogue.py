@@ -319,7 +319,7 @@ def heading_stack(spark, sf_dir):
     """Each conversation as a document; user and system turns are headings of levels that skip."""
     level = F.when(F.col("role") == "assistant", 0).otherwise(1 + (F.col("turn") * 7) % 3)
     blocks = read(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"), F.concat("role", F.col("turn").cast("string")).alias("title"))
-    return order.heading_paths(blocks, "conv_id", "turn", "level", "title").select("conv_id", "turn", F.array_join("heading_path", " > ").alias("path"))
+    return order.heading_paths(blocks, "conv_id", "turn", "level", "title", deepest=3).select("conv_id", "turn", F.array_join("heading_path", " > ").alias("path"))
 
 
 @query("""

@@ -64,7 +64,7 @@ def document_segments(blocks: DataFrame) -> DataFrame:
     Paragraphs stand under their headings, a heading under those above it. The header of a table is the row with
     most header words among its first; rows before it are keys and values by turns, others are paired with it.
     """
-    placed = heading_paths(blocks, "file_id", "block_index", "level", "text")
+    placed = heading_paths(blocks, "file_id", "block_index", "level", "text", deepest=9)
     path = F.col("heading_path")
     above = F.when(F.col("level") > 0, F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(path)
     texts = placed.where("block_type = 'paragraph'").select("file_id", "block_index", "block_type", "table_index", "row", path.alias("section_context"), in_context(F.col("text"), above).alias("text"))

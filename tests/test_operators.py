@@ -16,19 +16,31 @@ def test_order(spark):
     assert sorted(tuple(r) for r in ahead.collect()) == [("a", 1, "x"), ("a", 2, "x"), ("b", 5, "z")]
 
 
-def test_heading_paths(spark):
+@pytest.mark.parametrize("width", [1, 4, 4096])
+def test_heading_paths(spark, width):
     rng = np.random.default_rng(0)
     rows, want = [], {}
-    for doc in range(8):
-        path: list[str] = []
-        for o in range(15):
-            level = int(rng.integers(0, 4))
+    for doc in [*range(8), None]:
+        path: list[str | None] = []
+        for o in range(30):
+            level, title = int(rng.integers(0, 5)), f"h{o}" if rng.random() < 0.9 else None
             if level:
-                path = [*path[: level - 1], f"h{o}"]
-            rows.append((doc, o, level, f"h{o}"))
-            want[doc, o] = path
-    got = order.heading_paths(spark.createDataFrame(rows, "d int, o int, l int, t string"), "d", "o", "l", "t").collect()
-    assert {(r.d, r.o): r.heading_path for r in got} == want
+                path = [*path[: level - 1], title]
+            rows.append((doc, o * 2, level or (None if rng.random() < 0.5 else 0), title))
+            want[doc, o * 2] = path
+    table = spark.createDataFrame(rows, "d int, o int, l int, t string")
+    for deepest in (None, 9):
+        got = order.heading_paths(table, "d", "o", "l", "t", deepest=deepest, width=width).collect()
+        assert len(got) == len(rows) and {(r.d, r.o): r.heading_path for r in got} == want
+
+
+def test_heading_paths_without_headings(spark):
+    plain = order.heading_paths(spark.createDataFrame([(1, 1, 0, "x"), (1, None, None, None)], "d int, o int, l int, t string"), "d", "o", "l", "t")
+    assert [r.heading_path for r in plain.collect()] == [[], []]
+    assert order.heading_paths(plain.drop("heading_path").where("d > 1"), "d", "o", "l", "t").count() == 0
+    # rows of one place go by level and text
+    same = order.heading_paths(spark.createDataFrame([(1, 1, 1, "b"), (1, 1, 1, "a"), (1, 2, 0, "x")], "d int, o int, l int, t string"), "d", "o", "l", "t")
+    assert sorted((r.t, r.heading_path) for r in same.collect()) == [("a", ["a"]), ("b", ["b"]), ("x", ["b"])]
 
 
 def test_vector_and_layers(spark):
@@ -103,6 +115,19 @@ def test_p95(spark):
     assert metrics.p95(df, "v", "k").first().p95 == sorted(values)[round(36 * 0.95)]
 
 
+@pytest.mark.parametrize(("share", "apart"), [(0.95, 0.001), (0.95, 0.0), (0.5, 0.2), (0.0, 0.1), (1.0, 0.1)])
+def test_p95_of_groups(spark, share, apart):
+    """Skewed, equal, few and negative values, a null group and one of nulls alone; cuts that are far off don't matter."""
+    rng = np.random.default_rng(3)
+    groups = {"exp": np.exp(rng.normal(0, 4, 1500)), "same": np.full(700, 3.0), "one": np.array([5.0]), None: rng.normal(0, 1, 333), "whole": rng.integers(-9, 9, 1001).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None)], "k string, v double").repartition(7)
+    got = {r.k: (r.p95, r.n) for r in metrics.p95(df, "v", "k", share=share, apart=apart).collect()}
+    assert got == {k: (sorted(vs)[round((len(vs) - 1) * share)], len(vs)) for k, vs in groups.items()}
+    every = np.sort(np.concatenate(list(groups.values())))
+    assert [tuple(r) for r in metrics.p95(df, "v", share=share, apart=apart).collect()] == [(every[round((len(every) - 1) * share)], len(every))]
+    assert metrics.p95(df.where("false"), "v", "k").count() == 0
+
+
 def test_segments_and_forms(spark):
     grid = [(1, ["title"]), (2, ["分类", "项目", "能力描述", "现状", "证明"]), (3, ["电力", "市电", "双路", "有", ""]), (4, ["", "UPS", "容量", "无", ""]), (5, ["", "", "", "x", ""])]
     cells = spark.createDataFrame([("f", 0, r, c + 1, v) for r, vs in grid for c, v in enumerate(vs) if v], "file_id string, sheet_index int, row int, col int, value string")
@@ -158,10 +183,11 @@ def test_catalogue(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("size", [3, 500])
+@pytest.mark.parametrize("size", [1, 3, 500])
 def test_fixed_chunks(spark, size):
-    df = spark.createDataFrame([(1, "abcdefg"), (2, ""), (3, None)], "doc_id long, text string")
+    texts = {1: "abcdefg", 2: "", 3: None, 4: "a\n\r\u2028b😀c😀😀é中\n", 5: "x😀" * 3000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     parts = {}
     for r in retrieval.fixed_chunks(df, size).orderBy("doc_id", "part").collect():
         parts.setdefault(r.doc_id, []).append(r.chunk_text)
-    assert "".join(parts[1]) == "abcdefg" and all(len(p) <= size for p in parts[1]) and parts[2] == parts[3] == [""]
+    assert parts == {i: [t[k : k + size] for k in range(0, len(t), size)] if t else [""] for i, t in texts.items()}

@@ -21,6 +21,23 @@ def test_plans_and_candidates(spark):
     assert scores == {("f1", 10): 1.0, ("f1", 11): 0.35, ("f2", 12): 0.5}
 
 
+def test_best_candidates(spark):
+    """The best ``k`` of all candidates, ties by chunk id, over chunks in many batches; repeated chunks count once."""
+    plans = spark.createDataFrame([(q, f"f{q}", f"w{q} w{q + 1}", "east") for q in range(6)] + [(9, "f9", None, None)], "query_id long, field_id string, question_text string, target_namespace string")
+    kinds, spaces = [evidence.MAIN, evidence.EMBEDDED, "x", None], ["east", "west", None]
+    rows = [(i, f"f{i % 40}", f"w{i % 9} and", None, None, spaces[i % 3], kinds[i % 4]) for i in range(900)]
+    schema = "chunk_id long, field_id string, text string, question_text string, answer_value string, namespace string, source_type string"
+    chunks = spark.createDataFrame(rows + rows[:5], schema).repartition(5)
+    found = lambda k: [tuple(r) for r in planning.mini_candidates(plans, chunks, k).collect()]
+    every = found(None)
+    want = {(f"f{q}", i): (0.5 if field == f"f{q}" else 0.2) + 0.3 * (space == "east" and q < 9) + {evidence.MAIN: 0.2, evidence.EMBEDDED: 0.15}.get(kind, 0) for q in (*range(6), 9) for i, field, text, _, _, space, kind in rows if field == f"f{q}" or (q < 9 and text.split()[0] in (f"w{q}", f"w{q + 1}"))}
+    assert len(every) == len(want) and {(f, i): s for f, i, s in every} == {c: round(s, 6) for c, s in want.items()}
+    for k in (1, 30):
+        best = sorted(x for f in {f for f, _, _ in every} for x in sorted((r for r in every if r[0] == f), key=lambda r: (-r[2], r[1]))[:k])
+        assert sorted(found(k)) == best
+    assert planning.mini_candidates(plans, chunks.where("false")).count() == 0
+
+
 def test_cached_calls(spark):
     prompts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad")], "id long, prompt string")
     cache = prompts.where("id = 2").select(services.prompt_key("m", F.col("prompt")).alias("prompt_key"), F.lit("old").alias("response"))
