@@ -68,6 +68,68 @@ def test_sql_agrees(spark):
     assert sorted(tuple(r) for r in scan(spark, rows).values()) == sorted(want)
 
 
+GNU = """This {what} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {name}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+{name}General Public License for more details.
+
+You should have received a copy of the GNU {name}General Public License
+along with this {what}. If not, see <https://www.gnu.org/licenses/>.
+"""
+#: Notices as they stand in files, written by hand, and the licences that they give.
+NOTICES = {
+    "// " + GNU.format(what="program", name="").replace("\n", "\n// "): "GPL-any",
+    "/* " + GNU.format(what="library", name="Lesser ").replace("\n", "\n * ") + "*/": "LGPL-any",
+    GNU.format(what="program", name="Affero ").replace("\n", "\r\n"): "AGPL-any",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense.": "LGPL-any",
+    "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:": "Zlib",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy. For more information, please refer to <https://unlicense.org>": "Unlicense",
+    "Copyright (c) 2020, A. Author\n\nThis Font Software is licensed under the SIL Open Font License, Version 1.1.\nThis license is copied below, and is also available with a FAQ at:\nhttp://scripts.sil.org/OFL": "OFL-1.1",
+    "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0": "EPL-2.0",
+    "All rights reserved. This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution.": "EPL-1.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.": "ISC",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials.\n\nTHIS SOFTWARE IS PROVIDED BY THE AUTHORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.": "BSD-2-Clause",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+    "This text is released under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License!": "CC-BY-NC-SA-4.0",
+    "Licensed under CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0", "Released under CC0 1.0 Universal": "CC0-1.0", "Dedicated to the public domain.": "CC0-1.0", "Released under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "Distributed under the terms of the GNU Affero General Public License, v. 3.": "AGPL-3.0",
+    "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "# SPDX-License-Identifier: AGPL-3.0-only\n": "AGPL-3.0", "-- SPDX-License-Identifier: CC-BY-NC-SA-4.0": "CC-BY-NC-SA-4.0",
+    "// SPDX-License-Identifier: OFL-1.1": "OFL-1.1", "// SPDX-License-Identifier: Unlicense\nx": "Unlicense", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "// SPDX-License-Identifier: mitx": "",
+    "The MIT License is short. We like CC BY 4.0 and the Eclipse Public License.": "", "Licensed under the Imaginary License, version 2.0.": "", "Permission is granted to nobody.": "",
+}
+
+
+def test_notices(spark):
+    """Each notice alone, and repeated rows of one text, each of them scanned; SQL agrees on all."""
+    import duckdb
+
+    rows = [*enumerate(NOTICES), (0, next(iter(NOTICES))), (None, "Released under CC BY 4.0.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in licenses.scan(docs).collect()]
+    assert sorted((r[0], r[2]) for r in got if r[0] is not None) == sorted([*enumerate(NOTICES.values()), (0, "GPL-any")])
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(got, key=repr) == sorted(con.execute(licenses.oracle()).fetchall(), key=repr)
+
+
+def test_each_known_form(spark):
+    """Every form is found in a text of its own, so all have an anchor; every rule's identifiers are known, every identifier but two has a rule."""
+    leads = {"under": "licensed under the", "spdx": "SPDX-License-Identifier:"}
+    texts = [" ".join([leads.get(form.split()[0], form.split()[0]), *form.split()[1:]]) for form in licenses.KNOWN]
+    got = scan(spark, enumerate(texts))
+    assert [got[i].sentence_ids for i in range(len(texts))] == list(licenses.KNOWN.values())
+    ids = {*licenses.KNOWN.values(), *(n for n, _ in licenses.PATTERNS)}
+    assert ids - {i for _, rule in licenses.RULES for i in rule} == {"rights", "copyright"} and all(set(rule) <= ids for _, rule in licenses.RULES)
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip(wide):
     out = io.BytesIO()
