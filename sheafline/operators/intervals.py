@@ -44,7 +44,8 @@ def interval_pairs(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at
     on = (F.col("__level") == F.col("__r___level")) & (F.col("__bucket") == F.col("__r___bucket")) & F.col(at).between(F.col(first), F.col(last))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__r_{k}"))
-    joined = looked.join(placed, on, how)
+    # sizes of files don't tell how many ranges they hold: a broadcast of them could fill the driver
+    joined = looked.join(placed.hint("merge"), on, how)
     return joined.drop("__level", "__bucket", "__r___level", "__r___bucket", *(f"__r_{k}" for k in keys))
 
 

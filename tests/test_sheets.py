@@ -55,6 +55,15 @@ def test_a_wide_range_is_two_rows(spark):
     assert {x.r: x["count"] for x in placed} == {1: 2, 2: 1, 3: 2}
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_are_not_broadcast(spark):
+    p, r = tables(spark, [("a", 1, 1)], [("a", 1, 2, 3)])
+    assert "Broadcast" not in plan_of(intervals.interval_pairs(p, r, ["k"], "at", "first", "last"))
+
+
 V = 'xmlns:v="urn:schemas-microsoft-com:vml" xmlns:o="urn:schemas-microsoft-com:office:office" xmlns:x="urn:schemas-microsoft-com:office:excel"'
 
 
