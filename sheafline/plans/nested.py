@@ -72,8 +72,8 @@ def hidden_cells(spark, sf_dir):
     """Line items as cells of 40 sheets at the row of their part; every seventh order hides rows from its customer's number on."""
     cells = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).cast("int").alias("sheet"), F.col("l_partkey").alias("at"))
     ranges = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select((F.col("o_custkey") % 40).cast("int").alias("sheet"), F.col("o_custkey").alias("first"), (F.col("o_custkey") + F.col("o_orderkey") % 50).alias("last"))
-    flagged = intervals.with_cover(cells, ranges, ["sheet"], "at", "hidden")
-    counted = flagged.groupBy("sheet").agg(F.count("*").alias("n_cells"), F.count_if("hidden").alias("n_hidden"), F.min("at").alias("least"), F.max("at").alias("most"))
+    flagged = intervals.covered(cells.groupBy("sheet", "at").agg(F.count("*").alias("n")), ranges, ["sheet"], "at", "hidden")
+    counted = flagged.groupBy("sheet").agg(F.sum("n").alias("n_cells"), F.sum(F.when(F.col("hidden"), F.col("n")).otherwise(0)).alias("n_hidden"), F.min("at").alias("least"), F.max("at").alias("most"))
     lengths = intervals.covered_length(ranges, ["sheet"], "hidden_rows")
     return counted.join(lengths, "sheet", "left").withColumn("hidden_rows", F.coalesce("hidden_rows", F.lit(0)).cast("long"))
 

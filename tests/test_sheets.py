@@ -64,6 +64,16 @@ def test_ranges_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(intervals.interval_pairs(p, r, ["k"], "at", "first", "last"))
 
 
+def test_cover_over_many_buckets_spreads_no_place(spark):
+    wide = 1 << intervals.PLACES
+    points = [("a", at, i) for i, at in enumerate((-wide, 0, 5, wide, 3 * wide, 3 * wide + 1, 9 * wide))] + [("b", 0, 90), (None, 3, 91), ("a", None, 92), ("a", 5, 93)]
+    p, r = tables(spark, points, [("a", 4, 3 * wide, 1), ("a", 4, 6, 2), ("a", wide, wide, 3), ("a", -wide, -wide, 4), (None, 0, 9, 5)])
+    flagged = intervals.covered(p, r, ["k"], "at", "hit")
+    assert {x.p: x.hit for x in flagged.collect()} == {0: True, 1: False, 2: True, 3: True, 4: True, 5: False, 6: False, 90: False, 91: False, 92: False, 93: True}
+    assert "Generate" not in plan_of(intervals.with_cover(p, r, ["k"], "at", "hit"))
+    assert {x.k: x.n for x in intervals.covered_length(r, ["k"], "n").collect()} == {"a": 3 * wide - 4 + 2, None: 10}
+
+
 V = 'xmlns:v="urn:schemas-microsoft-com:vml" xmlns:o="urn:schemas-microsoft-com:office:office" xmlns:x="urn:schemas-microsoft-com:office:excel"'
 
 
