@@ -34,7 +34,7 @@ def nested_archives(spark, sf_dir):
     inner = archives.packed(files)
     number = F.floor(F.substring("name", 2, 12).cast("long") / 20)
     outer = archives.packed(inner.select(F.concat(F.lit("p"), number.cast("string"), F.lit(".zip")).alias("name"), F.col("name").alias("member"), "content"))
-    found = archives.expanded(outer.select(F.col("name").alias("attachment_id"), "name", "content"))
+    found = archives.expanded(outer.select(F.col("name").alias("attachment_id"), "name", "content"), contents=False)
     leaf = F.col("status") == "leaf"
     return found.select("name", "root_id", archives.lineage(F.col("path")).alias("lineage"), "depth", "status", F.when(leaf, F.col("size")).alias("size"), F.when(leaf, F.col("digest")).alias("digest"), "n_members")
 

@@ -1,8 +1,9 @@
 """Archives as tables of the objects inside them, to any depth, with their lineage and within bounds.
 
 A frontier of objects is opened one nesting level a round. Opening one object yields a row about itself and a row for
-each member; members are the next frontier. Each round is one Spark job over stored rows, in which every object is a
-piece of work of its own, so a root with many members is opened by many tasks.
+each member; members that can hold others are the next frontier, the rows of all others are done. Each round is one Spark
+job over stored rows, in which every object is a piece of work of its own, so a root with many members is opened by many
+tasks. Bytes are shuffled once a round, by object; what roots have left comes to them by a broadcast where roots are few.
 
 What a root may expand to is bounded before it is read: what is left of the root's budget is dealt to its objects of the
 frontier by their sizes, and a member that its share doesn't hold gives a row that says so instead of its bytes.
@@ -32,6 +33,12 @@ EMBEDDED = re.compile(r"(?:word|xl|ppt|visio)/embeddings/[^/]+")
 #: Bytes of members that a task hands on at once, and of packed objects that a task opens.
 HANDED = 16_777_216
 TASK_BYTES = 33_554_432
+#: Roots whose budgets are broadcast, at most: some 20 MB. Beyond, they are joined by a shuffle.
+ROOTS = 100_000
+#: First bytes of archives and of compound files, which can hold other objects.
+HOLDERS = (b"PK\x03\x04", b"PK\x05\x06", bytes.fromhex("D0CF11E0A1B11AE1"))
+#: Bytes that tell the type of an object, where the others aren't kept.
+HEAD = 16
 
 
 @dataclass(frozen=True)
@@ -81,20 +88,25 @@ def _read(package: zipfile.ZipFile, info: zipfile.ZipInfo, most: int) -> tuple[b
     return (data, None) if len(data) <= most else (None, "over_budget")
 
 
-def _open_batches(limits: Limits):
+def _closed(data: bytes) -> str:
+    """The status of an object that nothing is taken out of."""
+    return "unsupported_archive" if data[:6] == b"Rar!\x1a\x07" else "leaf"
+
+
+def _open_batches(limits: Limits, contents: bool):
     def row(**values) -> dict:
         return {k: values.get(k) for k in TYPES.names}
 
+    def kept(data: bytes) -> bytes:
+        return data if contents else data[:HEAD]
+
     def opened(r: dict) -> Iterator[dict]:
         known = {k: r[k] for k in ("object_id", "root_id", "parent_id", "path", "depth", "ordinal")}
-        if r["status"] is not None:  # refused where it was found
-            yield row(**known, name=r["name"], size=r["size"], status=r["status"], n_members=0, itself=True)
-            return
         name, data, note = _payload(r["name"], r["content"] or b"")
         digest = hashlib.sha256(data).hexdigest()
-        own = known | {"name": name, "content": data, "size": len(data), "digest": digest, "above": r["above"], "itself": True}
+        own = known | {"name": name, "content": kept(data), "size": len(data), "digest": digest, "itself": True}
         if data[:4] != b"PK\x03\x04" and data[:4] != b"PK\x05\x06":
-            yield row(**own, status=note or ("unsupported_archive" if data[:6] == b"Rar!\x1a\x07" else "leaf"), n_members=0)
+            yield row(**own, status=note or _closed(data), n_members=0)
             return
         try:
             package = zipfile.ZipFile(io.BytesIO(data))
@@ -116,10 +128,16 @@ def _open_batches(limits: Limits):
             for ordinal, (info, member) in enumerate(wanted, 1):
                 content, why = _read(package, info, min(left, limits.member_bytes))
                 left -= len(content or b"")
-                yield row(
-                    object_id=f"{r['object_id']}/{ordinal}", root_id=r["root_id"], parent_id=r["object_id"], path=[*r["path"], member], depth=r["depth"] + 1, ordinal=ordinal,
-                    name=posixpath.basename(member) or member, content=content, size=info.file_size if content is None else len(content), above=[*r["above"], digest], status=why, itself=False,
-                )
+                one = {
+                    "object_id": f"{r['object_id']}/{ordinal}", "root_id": r["root_id"], "parent_id": r["object_id"], "path": [*r["path"], member], "depth": r["depth"] + 1, "ordinal": ordinal,
+                    "name": posixpath.basename(member) or member, "size": info.file_size if content is None else len(content),
+                }
+                if content is None:
+                    yield row(**one, status=why, n_members=0, itself=True)
+                elif content.startswith(HOLDERS):
+                    yield row(**one, content=content, above=[*r["above"], digest], itself=False)
+                else:
+                    yield row(**one, content=kept(content), digest=hashlib.sha256(content).hexdigest(), status=_closed(content), n_members=0, itself=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -137,17 +155,15 @@ def _open_batches(limits: Limits):
     return run
 
 
-def _round(frontier: DataFrame, spent: DataFrame, limits: Limits, n: int) -> DataFrame:
+def _round(frontier: DataFrame, left: DataFrame, limits: Limits, contents: bool, n: int) -> DataFrame:
     """The frontier opened: each object gets its share, by size, of what its root has left."""
     size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("double")
-    sizes = frontier.groupBy("root_id").agg(F.sum(size).alias("all"))
-    left = sizes.join(spent, "root_id", "left").select("root_id", "all", F.greatest(F.lit(0), F.lit(limits.root_bytes) - F.coalesce("bytes", F.lit(0))).alias("left"))
     share = F.when(F.col("all") > 0, F.floor(F.col("left") * (size / F.col("all")))).otherwise(0).cast("long")
     dealt = frontier.join(left, "root_id").withColumn("budget", share).drop("all", "left").repartition(n, "object_id")
-    return stored(dealt.mapInArrow(_open_batches(limits), NODE))
+    return stored(dealt.mapInArrow(_open_batches(limits, contents), NODE))
 
 
-def expanded(attachments: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def expanded(attachments: DataFrame, limits: Limits = Limits(), contents: bool = True) -> DataFrame:
     """Every object in ``attachments(attachment_id, name, content)``, the attachments included, to ``limits.depth`` levels.
 
     Returns object_id (the attachment_id and the places of members, joined by ``/``), root_id, parent_id, path (names of
@@ -156,7 +172,8 @@ def expanded(attachments: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ``parsed_archive``, or why an object was not opened (``too_deep``, ``too_many_members``, ``contains_itself``,
     ``broken_archive``, ``broken_member``, ``unsupported_archive``, ``unsupported_method``, ``encrypted``,
     ``over_budget``); those that were not read have no content, and their declared size. A null content is an empty leaf.
-    Rows that repeat an attachment_id are objects of one root each. An empty table gives an empty table.
+    Rows that repeat an attachment_id are objects of one root each. An empty table gives an empty table. Without
+    ``contents`` bytes are read, measured and digested all the same, but the column content is null.
     """
     none = F.lit(None)
     start = attachments.select(
@@ -164,24 +181,31 @@ def expanded(attachments: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "name", "content", none.cast("long").alias("size"), none.cast("string").alias("digest"), F.array().cast("array<string>").alias("above"), none.cast("string").alias("status"), none.cast("array<string>").alias("parts"), none.cast("int").alias("n_members"), F.lit(False).alias("itself"),
     )
     frontier, levels = stored(start), []
+    found = frontier.select("root_id", F.octet_length("content").alias("size"))  # what the last round brought
     spent = frontier.sparkSession.createDataFrame([], "root_id string, bytes long")
     while True:
         n, size = frontier.agg(F.count("*"), F.sum(F.octet_length("content"))).first()
         if not n:
             break
+        sizes = found.groupBy("root_id").agg(F.sum(F.coalesce("size", F.lit(0)).cast("double")).alias("all"))
+        budget = F.greatest(F.lit(0), F.lit(limits.root_bytes) - F.coalesce("bytes", F.lit(0)))
+        left = stored(sizes.join(spent, "root_id", "left").select("root_id", "all", budget.alias("left")))
+        few = left.limit(ROOTS + 1).count() <= ROOTS
         # an object is few bytes with much work behind them: what was counted decides how many tasks there are
-        level = _round(frontier, spent, limits, min(n, max(2 * frontier.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))))
+        tasks = min(n, max(2 * frontier.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES)))
+        level = _round(frontier, F.broadcast(left) if few else left, limits, contents, tasks)
         levels.append(level.where("itself"))
         frontier = level.where("not itself")
-        read = frontier.where("status is null").groupBy("root_id").agg(F.sum("size").alias("bytes"))
-        spent = stored(spent.unionByName(read).groupBy("root_id").agg(F.sum("bytes").alias("bytes")))
+        read = F.when(F.col("status").isNull() | F.col("digest").isNotNull(), F.col("size")).otherwise(0)
+        found = level.where(F.col("depth") == len(levels)).select("root_id", read.alias("size"))
+        spent = stored(spent.unionByName(found.groupBy("root_id").agg(F.sum("size").alias("bytes"))).groupBy("root_id").agg(F.sum("bytes").alias("bytes")))
     if not levels:
         levels = [frontier]
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
     kind = embedded.file_type(F.col("content"), F.col("name"), F.col("parts"))
-    return out.select("object_id", "root_id", "parent_id", "path", "depth", "ordinal", "name", kind.alias("file_type"), "size", "content", "digest", "status", "n_members")
+    return out.select("object_id", "root_id", "parent_id", "path", "depth", "ordinal", "name", kind.alias("file_type"), "size", F.col("content") if contents else F.lit(None).cast("binary").alias("content"), "digest", "status", "n_members")
 
 
 def lineage(path: Column) -> Column:

@@ -53,6 +53,22 @@ def test_no_list_is_cut(spark):
     assert (row.object_id, bytes(row.content), row.digest) == ("z/700", b"699", hashlib.sha256(b"699").hexdigest())
 
 
+def test_leaves_take_no_round_and_bytes_are_kept_on_demand(spark, monkeypatch):
+    inner = package({f"{i}.txt": f"text {i}" * 100 for i in range(5)} | {"p.png": b"\x89PNG\r\n\x1a\n" + b"x" * 90, "r.rar": b"Rar!\x1a\x07\x00rest"})
+    rows = spark.createDataFrame([("z", "z.zip", bytearray(package({"in.zip": inner, "top.txt": b"top"})))], SCHEMA)
+    opened, whole = [], archives._round
+    monkeypatch.setattr(archives, "_round", lambda frontier, *rest: opened.append(frontier.count()) or whole(frontier, *rest))
+    full = archives.expanded(rows)
+    assert opened == [1, 1]
+    assert bytes(full.where("object_id = 'z/1/1'").first().content) == b"text 0" * 100
+    bare = archives.expanded(rows, contents=False)
+    assert bare.where("content is not null").count() == 0
+    drop = lambda f: sorted(map(str, f.drop("content").collect()))
+    assert drop(bare) == drop(full) and {r.file_type for r in bare.collect()} == {"zip", "unknown", "image", "rar"}
+    monkeypatch.setattr(archives, "ROOTS", 0)
+    assert drop(archives.expanded(rows)) == drop(full)
+
+
 def squeezed(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
