@@ -50,7 +50,7 @@ def archive_totals(spark, sf_dir):
     inner = archives.packed(docs.select(name.alias("name"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content")))
     root = F.concat(F.lit("p"), F.floor(F.substring("name", 2, 12).cast("long") / 20).cast("string"), F.lit(".zip"))
     outer = archives.packed(inner.select(root.alias("name"), F.col("name").alias("member"), "content"))
-    found = archives.archive_summary(archives.expanded(outer.select(F.col("name").alias("attachment_id"), "name", "content")))
+    found = archives.archive_summary(archives.expanded(outer.select(F.col("name").alias("attachment_id"), "name", "content"), contents=False))
     return found.select("root_id", "n_objects", "depth", F.col("statuses")["leaf"].alias("n_leaves"), F.col("statuses")["parsed_archive"].alias("n_archives"))
 
 
