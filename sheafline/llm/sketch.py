@@ -3,8 +3,8 @@
 A 64-bit SimHash within 3 bits only shows texts that are nearly equal: at a Jaccard similarity of 0.8 over five-word
 shingles, fingerprints differ in 6 to 17 bits, and at such a distance no vantage point prunes anything. So the stage
 finds links by similarity: bands of min-hash values find candidates. First each row is held against one leader of each
-of its bands, and links join rows to classes. Then, in bands that still hold several classes, each row is held against
-representatives of the other classes. Sizes drop candidates first, bottom-k sketches then. A sketch holds the smallest hashes of
+of its bands, and links join rows to classes. Then, in bands that still hold several classes, all pairs of rows of
+different classes are held against each other, in cells of bounded size. Sizes drop candidates first, bottom-k sketches then. A sketch holds the smallest hashes of
 a text's distinct shingles; beyond ``SKETCH`` shingles its standard error is below 0.015. Pairs within ``MARGIN`` of the
 limit, five standard errors, are decided by the whole sets of 64-bit hashes of just their texts; where both sketches
 hold all hashes, four or six parts of the union from the limit are enough.
@@ -41,10 +41,10 @@ SLOTS = 512
 #: Sets from SMALL hashes on have one hash function cut into slots, those below SMALL / SIMILARITY a function for each
 #: slot; sizes between have both, so that two sets of the limit's similarity always have one kind in common.
 SMALL = 128
-#: Classes of a band beyond which its rows are told apart by their other bands.
-HOT = 32
-#: Rows of a class that the rows of lesser classes meet in a band.
-REPS = 4
+#: Rows of a band beyond which it is dealt to cells, in blocks of so many rows: each pair of blocks is a cell. It bounds memory, not pairs.
+HOT = 2_048
+#: Rows of cells that a task gets, on average.
+DEALT = 1_024
 #: Texts whose shingles are counted to tell common ones, and counts kept: 1 MB. They set an order, so they bound work, not results.
 COUNTED, COMMON = 16_384, 65_536
 #: Buckets of nodes that are broadcast, at most: they thin texts out before a shuffle, so they bound work, not results.
@@ -199,33 +199,43 @@ def _exact_batches(least: float):
     return run
 
 
-def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, text`` of ``nodes(node)``. Few texts are asked for, so most are dropped where they are read, by their bucket."""
+def _thinned(rows: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+    """``node, what`` of ``nodes(node)`` and of some others. Few are asked for, so most are dropped where they are read, by their bucket."""
     bucket = F.pmod(F.xxhash64("node"), F.lit(BUCKETS)).alias("bucket")
-    near = texts.select("node", "text", bucket).join(F.broadcast(nodes.select(bucket).distinct()), "bucket", "left_semi")
-    return near.select("node", "text").join(nodes, "node", "left_semi")
+    return rows.select("node", what, bucket).join(F.broadcast(nodes.select(bucket).distinct()), "bucket", "left_semi").select("node", what)
 
 
-def alike(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` of ``least`` similarity. Only the sketches of their nodes are shuffled."""
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of ``nodes(node)``."""
+    return _thinned(texts, nodes, "text").join(nodes, "node", "left_semi")
 
-    def nodes_of(pairs: DataFrame) -> DataFrame:
-        return materialise(pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct())
 
-    def with_both(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
-        a = of.select(F.col("node").alias("u"), F.col(what).alias("a"))
-        b = of.select(F.col("node").alias("v"), F.col(what).alias("b"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct())
 
-    pairs = materialise(pairs)
-    held = materialise(sketched.select("node", "sketch").join(nodes_of(pairs), "node", "left_semi"))
-    judged = materialise(with_both(pairs, held, "sketch").mapInArrow(_judge_batches(least), "u long, v long, sure boolean"))
+
+def _with_both(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
+    a = of.select(F.col("node").alias("u"), F.col(what).alias("a"))
+    b = of.select(F.col("node").alias("v"), F.col(what).alias("b"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+
+
+def _decided(judged: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``u, v`` of ``judged(u, v, sure)`` that are sure, or that the whole sets say."""
     close = judged.where("not sure").select("u", "v").distinct()
-    sets = materialise(_texts_of(texts, nodes_of(close)).mapInArrow(_set_batches(words), "node long, hashes binary"))
-    exact = with_both(close, sets, "hashes").mapInArrow(_exact_batches(least), "u long, v long")
+    sets = materialise(_texts_of(texts, _nodes_of(close)).mapInArrow(_set_batches(words), "node long, hashes binary"))
+    exact = _with_both(close, sets, "hashes").mapInArrow(_exact_batches(least), "u long, v long")
     return judged.where("sure").select("u", "v").unionByName(exact)
 
 
+def alike(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` of ``least`` similarity. Only the sketches of their nodes are shuffled."""
+    pairs = materialise(pairs)
+    held = materialise(sketched.select("node", "sketch").join(_nodes_of(pairs), "node", "left_semi"))
+    judged = materialise(_with_both(pairs, held, "sketch").mapInArrow(_judge_batches(least), "u long, v long, sure boolean"))
+    return _decided(judged, texts, words, least)
+
+
 def _shingle_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,58 +315,75 @@ def _sized(least: float, n: str = "n", m: str = "m") -> str:
     return f"least({n}, {m}) >= {least} * greatest({n}, {m}) - 1e-6"
 
 
-def _firsts(rows: DataFrame, turn: int) -> DataFrame:
-    """``key, class, held, reps``: how many rows a class of a key has, and up to REPS of them, others in each key and turn."""
-    one = lambda i: F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node", "key", F.lit(turn * REPS + i)), "node"))
-    return rows.groupBy("key", "class").agg(F.count("*").alias("held"), F.array_distinct(F.array(*[one(i) for i in range(REPS)])).alias("reps"))
-
-
-def _met(rows: DataFrame, least: float) -> DataFrame:
-    """``node, v`` of ``rows(node, n, reps)``; representatives whose sizes don't allow the similarity make no row."""
-    return rows.select("node", F.explode(F.expr(f"filter(reps, r -> {_sized(least, 'n', 'r.n')})")).alias("r")).select("node", F.col("r.node").alias("v"))
+def _cell_pairs(least: float):
+    def run(group: pa.Table) -> pa.Table:
+        """Pairs of the cell's rows of different classes that sketches don't put below the limit, one sure pair for two classes."""
+        node, n, block = (group[c].to_numpy() for c in ("node", "n", "block"))
+        names, of = np.unique(group["class"].to_numpy(), return_inverse=True)
+        raw = group["sketch"].to_pylist()
+        held = [np.frombuffer(x, "<u4") for x in raw]
+        sizes = np.array([len(x) for x in held])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        values, ids = np.unique(np.concatenate(held), return_inverse=True)
+        mark, crossed = np.zeros(len(values), np.int32), block.min() != block.max()
+        widest = np.bincount(of).argmax()
+        asks = of != widest
+        sure, close = {}, []
+        for i in np.flatnonzero(asks):
+            fits = (of != of[i]) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-6)
+            fits[: i + 1] &= ~asks[: i + 1]  # of two rows that ask, the first does
+            if crossed:
+                fits &= block != block[i]
+            if not fits.any():
+                continue
+            own = ids[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[ids], starts)
+            mark[own] = 0
+            union = sizes[i] + sizes - shared
+            near, off = shared / union, np.minimum(MARGIN, np.where(union <= FEW, 4, 6) / union)
+            part = (sizes >= SKETCH) | (sizes[i] >= SKETCH)
+            for j in np.flatnonzero(fits & part & (shared > (least - MARGIN) * SKETCH - 1e-6)):
+                near[j], off[j] = compare(raw[i], raw[j])
+                part[j] = False
+            for j in np.flatnonzero(fits & ~part & (near > least - off)):
+                two = (min(of[i], of[j]), max(of[i], of[j]))
+                if near[j] >= least + off[j]:
+                    sure.setdefault(two, (i, j))
+                else:
+                    close.append((two, i, j))
+        pairs = [(i, j, True) for i, j in sure.values()] + [(i, j, False) for two, i, j in close if two not in sure]
+        a, b = (node[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
+        return pa.table({"u": np.maximum(a, b), "v": np.minimum(a, b), "sure": np.array([p[2] for p in pairs], bool)})
 
-
-def _across(rows: DataFrame, least: float, turn: int) -> DataFrame:
-    """``node, v``: each of ``rows(key, node, n, class)`` with members of every class of its key that has more rows there.
-
-    Of classes of as many rows, rows of the lesser number meet the other.
-    """
-    first = materialise(_firsts(rows, turn))
-    others = first.select("key", F.col("class").alias("other"), F.col("held").alias("more"), "reps")
-    met = rows.join(first.select("key", "class", "held"), ["key", "class"]).join(others, "key")
-    return _met(met.where("more > held or more = held and other > class"), least)
+    return run
 
 
-def open_bands(keyed: DataFrame, sketched: DataFrame, classes: DataFrame, least: float, turn: int = 0) -> DataFrame:
-    """``u, v``: rows of ``keyed(key, node, n)`` with representatives of the other ``classes(node, component)`` of their bands.
+def open_bands(keyed: DataFrame, sketched: DataFrame, texts: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
+    """``u, v``: links of ``least`` similarity between all rows of different ``classes(node, component)`` that share a band of ``keyed(key, node, n)``.
 
-    The rows outside the widest class of a band meet some of its rows. Then they meet each other's classes, those of more
-    rows. Where these are more than HOT, the band is one of common shingles: its rows meet only where they share another
-    band, too, as two similar texts do but for one pair in a thousand.
+    One link for two classes is enough. A band of more than HOT rows is dealt to cells, one for each pair of its blocks.
     """
-    held = keyed.join(classes, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("class"))
-    held = materialise(held)
-    mixed = held.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c < d").select("key")
+    held = materialise(keyed.join(classes, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("class")))
+    mixed = held.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d"), F.ceil(F.count("*") / F.lit(HOT)).cast("int").alias("blocks")).where("c < d").select("key", "blocks")
     rows = materialise(held.join(mixed, "key"))
-    top = _firsts(rows, turn).groupBy("key").agg(F.max_by(F.struct("class", "reps"), F.struct("held", "class")).alias("w"), F.count("*").alias("classes"))
-    outside = materialise(rows.join(top.select("key", "classes", F.col("w.class").alias("top"), F.col("w.reps").alias("reps")), "key").where("class <> top"))
-    few = outside.where(F.col("classes").between(3, HOT)).select("key", "node", "n", "class")
-    many = outside.where(F.col("classes") > HOT).select("key", "node", "n", "class").join(sketched.select("node", "bands"), "node")
-    # the sign of the key that splits another is lost in the hash of both
-    split = many.select("node", "n", "class", "key", F.explode("bands").alias("by")).where("by <> key").select(F.xxhash64("key", "by").alias("key"), "node", "n", "class")
-    met = _met(outside, least).unionByName(_across(few, least, turn)).unionByName(_across(split, least, turn))
-    return met.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+    wanted = materialise(rows.select("node").distinct())
+    full = rows.join(_thinned(sketched, wanted, "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cells = full.withColumn("cell", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as i, greatest(k, block) as j))")))
+    cells = cells.select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "node", "n", "class", "block", "sketch")
+    n = rows.agg(F.sum("blocks")).first()[0] or 0
+    cells = cells.repartition(max(1, min(2_000, n // DEALT + 2 * keyed.sparkSession.sparkContext.defaultParallelism)), "key", "i", "j")
+    return _decided(materialise(cells.groupBy("key", "i", "j").applyInArrow(_cell_pairs(least), "u long, v long, sure boolean")), texts, words, least)
 
 
-def similar_groups(texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, also: DataFrame | None = None, sketched: DataFrame | None = None, turns: int = 1, exact: bool = False) -> DataFrame:
+def similar_groups(texts: DataFrame, words: int = WORDS, least: float = SIMILARITY, also: DataFrame | None = None, sketched: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """``node, component`` of the nodes of ``texts(node, text)``, node a long, that links of ``least`` similarity join; others have no row.
 
     ``also``: further candidates ``u, v``, held to the same similarity. ``sketched``: what ``sketches`` gives. Texts without
     words have no links. First each row is compared with the leader of each of its bands, the row that a hash of band and
     node puts first; a band's rows are counted before they are joined with its leader, so a band that very many rows share
-    splits like any other join. Then rows meet representatives of the other classes of their bands (``open_bands``), others
-    each turn, for ``turns`` turns or until one joins nothing. With ``exact``, pairs that share no band, and those of rows
-    that represented nothing, are found by ``open_pairs``. Later links join classes, which are few rows, not nodes anew. Nodes
+    splits like any other join. Then all rows of different classes that share a band meet (``open_bands``). With ``exact``,
+    pairs that share no band are found by ``open_pairs``. Later links join classes, which are few rows, not nodes anew. Nodes
     that repeat are one node of all their texts' bands.
     """
     sketched = sketches(texts, words) if sketched is None else sketched
@@ -367,12 +394,7 @@ def similar_groups(texts: DataFrame, words: int = WORDS, least: float = SIMILARI
     pairs = shared.where("node <> v").where(_sized(least)).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
     met = materialise((pairs.unionByName(also.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))) if also is not None else pairs).distinct())
     classes = materialise(components(alike(met, sketched, texts, words, least)))
-    for turn in range(turns):
-        pairs = materialise(open_bands(shared.select("key", "node", "n"), sketched, classes, least, turn).join(met, ["u", "v"], "left_anti"))
-        links = materialise(alike(pairs, sketched, texts, words, least))
-        if links.isEmpty():
-            break
-        classes, met = materialise(_joined(classes, links)), met.unionByName(pairs)
+    classes = materialise(_joined(classes, open_bands(shared.select("key", "node", "n"), sketched, texts, classes, words, least)))
     return _joined(classes, alike(open_pairs(texts, sketched.count(), classes, words, least), sketched, texts, words, least)) if exact else classes
 
 

@@ -120,3 +120,18 @@ def test_hot_bands_lose_no_copies(spark, monkeypatch):
         if k % 3 == 0:
             texts.append(" ".join([*words[:-2], "one", "two"]))
     assert kept(spark, texts) == want
+
+
+def test_links_to_any_row_of_a_class(spark):
+    rng, texts = np.random.default_rng(21), []
+    for a in range(36):
+        for b in range(a):  # one class: each pair of places edited, in the same way by all
+            words = [f"t{i}" for i in range(460)]
+            words[10 * a + 5], words[10 * b + 5] = f"e{a}", f"e{b}"
+            texts.append(words)
+    for k in range(12):  # nine edits more of one of them: similar to it (0.82), to no other (0.785)
+        words = list(texts[int(rng.integers(50 * k, 50 * k + 50))])
+        for place in range(36, 45):
+            words[10 * place + 5] = f"n{k}x{place}"
+        texts.append(words)
+    assert kept(spark, [" ".join(w) for w in texts]) == [0]
