@@ -67,12 +67,13 @@ def markdown_cell(value: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _fold(value: pd.Series) -> pd.Series:
-    return value.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+    # Python splits at the white space that SPACES names
+    return value.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()), na_action="ignore")
 
 
 def normalize_text(value: Column) -> Column:
     """Compatibility forms, collapsed white space, case folded. The forms come first, so ℃ becomes °c."""
-    return collapse(_fold(F.coalesce(value.cast("string"), F.lit(""))))
+    return _fold(F.coalesce(value.cast("string"), F.lit("")))
 
 
 def normalize_enum(value: Column, folded: bool = False) -> Column:
@@ -80,10 +81,14 @@ def normalize_enum(value: Column, folded: bool = False) -> Column:
     return F.regexp_replace(value if folded else normalize_text(value), r"[^\p{L}\p{N}%℃°]", "")
 
 
+def _looked_up(table: dict[str, Column], key: Column) -> Column:
+    """The key's entry of a constant table, else null. The key is evaluated once, where a chain of conditions does so for each of them."""
+    return F.try_element_at(F.create_map(*[x for name, value in table.items() for x in (F.lit(name), value)]), key)
+
+
 def normalize_bool(value: Column, folded: bool = False) -> Column:
     """True, false or null by fixed spellings."""
-    text = normalize_enum(value, folded)
-    return F.when(text.isin(*TRUE_WORDS), True).when(text.isin(*FALSE_WORDS), False)
+    return _looked_up({w: F.lit(truth) for words, truth in ((TRUE_WORDS, True), (FALSE_WORDS, False)) for w in words}, normalize_enum(value, folded))
 
 
 def parse_number(value: Column, folded: bool = False) -> Column:
@@ -91,9 +96,8 @@ def parse_number(value: Column, folded: bool = False) -> Column:
     text = F.replace(value if folded else normalize_text(value), F.lit(","), F.lit(""))
     number = F.regexp_extract(text, r"([+-]?\d+(?:\.\d+)?)", 1)
     unit = normalize_enum(F.regexp_extract(text, r"[+-]?\d+(?:\.\d+)?\s*([a-zA-Z\x{4e00}-\x{9fff}%℃°]*)", 1), folded=True)
-    factor, canonical = F.lit(1.0), unit
-    for name, of, times in UNITS:
-        factor, canonical = F.when(unit == name, times).otherwise(factor), F.when(unit == name, of).otherwise(canonical)
+    factor = F.coalesce(_looked_up({name: F.lit(times) for name, _, times in UNITS}, unit), F.lit(1.0))
+    canonical = F.coalesce(_looked_up({name: F.lit(of) for name, of, _ in UNITS}, unit), unit)
     return F.when(number != "", F.struct((number.cast("double") * factor).alias("value"), canonical.alias("unit")))
 
 
