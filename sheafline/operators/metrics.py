@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
 
-from .evidence import CONSTRAINTS, constraint_violations
+from .evidence import CONSTRAINTS, constraint_violations, numeric
 from .order import changed, half_even_rank
 
 #: Statuses with which a prediction abstains, and with which a gold field expects no direct answer.
@@ -20,8 +20,11 @@ METHODS = {"naive_fixed_chunk_vector": (12, 0.001), "flat_vector_rag": (20, 0.00
 def semantic_match(gold: Column, got: Column, kind: Column, aliases: Column) -> Column:
     """Equal as text, as an alias (``aliases`` normalised), or as the type says: truth, number of the same unit, date or list."""
     a, b = T.normalize_text(gold), T.normalize_text(got)
-    ea, eb = T.normalize_enum(a, folded=True), T.normalize_enum(b, folded=True)
-    na, nb = T.parse_number(a, folded=True), T.parse_number(b, folded=True)
+    return _matches(a, b, T.normalize_enum(a, folded=True), T.normalize_enum(b, folded=True), T.parse_number(a, folded=True), T.parse_number(b, folded=True), kind, aliases)
+
+
+def _matches(a: Column, b: Column, ea: Column, eb: Column, na: Column, nb: Column, kind: Column, aliases: Column) -> Column:
+    """``semantic_match`` of normalised texts, options and numbers; they are named several times, so pass columns that hold them."""
     near = F.abs(na["value"] - nb["value"]) <= F.greatest(F.abs(na["value"]) * 1e-6, F.lit(1e-6))
     units = (na["unit"] == nb["unit"]) | (na["unit"] == "") | (nb["unit"] == "")
     named = F.array_contains(F.coalesce(aliases, F.array().cast("array<string>")), eb)
@@ -42,21 +45,30 @@ def evaluate(golds: DataFrame, predictions: DataFrame, k: int = 5, threshold: fl
     regex, options, min, max)``, ``predictions(field_id, ordinal, answer_value, answer_status, confidence, source_ids)``.
     """
     last = predictions.groupBy("field_id").agg(F.max_by(F.struct("answer_value", "answer_status", "confidence", "source_ids"), "ordinal").alias("p")).select("field_id", "p.*")
-    rows = golds.join(last, "field_id", "left").withColumns({
+    # merged, so that fields are dealt to tasks by their number; a scan of a few MB would give their metrics to one task
+    rows = golds.join(last.hint("merge"), "field_id", "left").withColumns({
         "answer_status": F.coalesce("answer_status", F.lit("not_found")), "confidence": F.coalesce("confidence", F.lit(0.0)),
         "source_ids": F.coalesce("source_ids", F.array().cast("array<string>")),
     })
     expects, answered = F.col("expected_status") == "answered", F.col("answer_status") == "answered"
     abstained = F.col("answer_status").isin(*ABSTAINS)
+    row = {c: F.col(c) for c in CONSTRAINTS}
+    # all Arrow functions in one step and none later: Spark merges steps that both have some, and makes again what they share
+    rows = rows.withColumns({"__a": T.normalize_text(F.col("expected_value")), "__b": T.normalize_text(F.col("answer_value")), "__expected": T.normalize_enum(F.col("expected_status")), "__status": T.normalize_enum(F.col("answer_status"))})
+    a, b = F.col("__a"), F.col("__b")
+    rows = rows.withColumns({
+        "__ea": T.normalize_enum(a, folded=True), "__eb": T.normalize_enum(b, folded=True),
+        "__na": F.when(F.col("field_type") == "number", T.parse_number(a, folded=True)), "__nb": F.when(numeric(row), T.parse_number(b, folded=True)),
+    })
     rows = rows.withColumns({
-        "exact_match": T.normalize_text(F.col("expected_value")) == T.normalize_text(F.col("answer_value")),
-        "semantic_match": semantic_match(F.col("expected_value"), F.col("answer_value"), F.col("field_type"), F.col("aliases")),
-        "status_match": T.normalize_enum(F.col("expected_status")) == T.normalize_enum(F.col("answer_status")),
+        "exact_match": a == b,
+        "semantic_match": _matches(a, b, F.col("__ea"), F.col("__eb"), F.col("__na"), F.col("__nb"), F.col("field_type"), F.col("aliases")),
+        "status_match": F.col("__expected") == F.col("__status"),
         "evidence_supported": answered & (F.size("source_ids") > 0),
         "evidence_recall": T.recall_at(F.col("gold_ids"), F.col("source_ids"), k),
         "abstention_correct": F.when(abstained, F.col("expected_status").isin(*NO_ANSWER)),
-        "violations": constraint_violations({c: F.col(c) for c in CONSTRAINTS}),
-    })
+        "violations": constraint_violations(row | {"folded": b, "number": F.col("__nb.value")}),
+    }).drop("__a", "__b", "__expected", "__status", "__ea", "__eb", "__na", "__nb")
     missing = F.col("must_have_evidence") & answered & (F.size("source_ids") == 0)
     wrong = expects & ~F.col("semantic_match")
     rows = rows.withColumn("needs_review", (F.size("violations") > 0) | (F.col("answer_status") == "conflict_unresolved") | (F.col("confidence") < threshold) | missing | wrong)
@@ -80,7 +92,12 @@ def summarize(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def badcase_counts(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.select(*by, F.explode("badcases").alias("badcase")).groupBy(*by, "badcase").agg(F.count("*").alias("n"))
+    """How many rows have each bad case. Equal lists are counted before they are taken apart.
+
+    The outer form keeps Spark from asking first whether the list is empty, for which it would make all metrics of a row twice.
+    """
+    lists = rows.groupBy(*by, "badcases").agg(F.count("*").alias("n"))
+    return lists.select(*by, "n", F.explode_outer("badcases").alias("badcase")).where("badcase is not null").groupBy(*by, "badcase").agg(F.sum("n").alias("n"))
 
 
 def improvements(base: DataFrame, improved: DataFrame) -> DataFrame:
